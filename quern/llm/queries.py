@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, neardup, sharding, warc
+from . import bpe, chat, media, neardup, sharding, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,13 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(rows.unionByName(probe).withColumn("parts", text_part)))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    scored = toxicity.score(documents, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), "doc_id", "text", word_bpe_path())
 
@@ -56,7 +63,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media, op3_chat, op5_bpe, op6_sharding, op8_minhash, op9_warc)
+    f.__name__: f for f in (op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc)
 }
 
 ORACLE_SQL: dict[str, str] = {}
