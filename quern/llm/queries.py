@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, neardup, sharding, toxicity, warc
+from . import bpe, chat, linededup, media, neardup, sharding, toxicity, warc
 from .common import table
 
 
@@ -62,8 +62,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(documents)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc)
+    f.__name__: f for f in (op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
