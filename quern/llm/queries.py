@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, media, neardup, sharding, toxicity, warc
+from . import bpe, chat, decontam, linededup, media, neardup, sharding, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,11 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.with_contamination(documents, table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store_wav(table(spark, sf_dir, "documents"), "doc_id", "text")
     return media.wav_features(media.sniff_media(stored, "doc_id"), "doc_id")
@@ -68,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc, op10_line_dedup)
+    f.__name__: f for f in (op1_decontam, op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
