@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, linededup, media, neardup, sharding, toxicity, warc
+from . import bpe, chat, decontam, linededup, lmscore, media, neardup, sharding, toxicity, warc
 from .common import table
 
 
@@ -58,6 +58,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    return lmscore.scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontam, op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op8_minhash, op9_warc, op10_line_dedup)
+    f.__name__: f for f in (op1_decontam, op2_media, op3_chat, op4_toxicity, op5_bpe, op6_sharding, op7_lm_score, op8_minhash, op9_warc, op10_line_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
