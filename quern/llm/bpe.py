@@ -371,16 +371,22 @@ def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
 DIGEST = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def encode_digest(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """Encodes and decodes every text in one pass and returns digests of ids and decoded text."""
+def encode_digest(df: DataFrame, key: str, text: str, path: str, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every text in one pass: digests of ids and decoded text, and the ids if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path)
-        for batch in batches:
-            rows = []
-            for parts in own.parts([x or "" for x in batch.column(1).to_pylist()]):
-                ids, decoded = (hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest() for k in (1, 2))
-                rows.append((sum([p[0] for p in parts]), ids, decoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key bigint, {DIGEST}").withColumnRenamed("key", key)
+        types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch, rows = whole.slice(at, 1000), []
+                for parts in own.parts([x or "" for x in batch.column(1).to_pylist()]):
+                    ids, decoded = (" ".join([p[k] for p in parts]) for k in (1, 2))
+                    row = (sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    rows.append((*row, np.fromstring(ids, np.int32, sep=" ")) if with_ids else row)
+                width = 3 + with_ids
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], types[i]) for i in range(width))], names=["key", *names[:width]])
+
+    schema = f"key bigint, {DIGEST}" + ", ids array<int>" * with_ids
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)

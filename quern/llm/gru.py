@@ -159,12 +159,14 @@ class Gru:
             grads["u"] += before.T @ through
             dh = np.where(live, d * z + through @ self.u.T, dh)
         np.add.at(grads["wx"], x[mask], deltas[mask])
-        for name, g in grads.items():  # Adam
+        # Adam; as lanes run out, fewer texts speak, and each step counts for less.
+        rate = RATE * min(1.0, float(mask.sum()) / (WINDOW * LANES))
+        for name, g in grads.items():
             m, v = memory[name]
             np.clip(g, -1, 1, out=g)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            step = RATE * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
+            step = rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-6)
             setattr(self, name, getattr(self, name) - step.astype(np.float32))
         return h
 

@@ -143,7 +143,7 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row; see the module for the rule."""
+    """``(doc_id, text_hash, n_shingles, component_id, kept)`` for every row; see the module for the rule."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     described = cut(rows.mapInArrow(_describe, "doc_id bigint, text_hash bigint, n_shingles bigint, class bigint, sig binary"), "described")
     one = F.struct("doc_id", "text_hash", "n_shingles", "sig")
@@ -190,5 +190,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     linked = cut(rooted.join(least, "root").select("class", "component_id"), "linked")
     own = cut(classes.join(linked, "class", "left").select("class", F.coalesce("component_id", "first").alias("component_id")), "class-components")
-    out = described.select("doc_id", "n_shingles", "class").join(own, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = described.select("doc_id", "text_hash", "n_shingles", "class").join(own, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
