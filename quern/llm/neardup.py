@@ -13,7 +13,11 @@ A bucket's members are not paired with one another at once:
    what is confirmed makes a forest, whose trees are contracted;
 2. the nearest untested link to a least member between any two trees is tested;
 3. last, members of one bucket that are in different components, and only they, are
-   paired, so that no link is lost and a group of near copies costs no pairs.
+   paired, so that no link is lost. Before that, shingles that only one of these classes
+   has are counted: with ``rest`` others, a class has no link if ``rest / size`` is below
+   the similarity sought, and a pair none if the lesser rest is too small for it. That
+   bound is exact and linear; it clears texts that share a passage, and near copies too
+   far from each other, without a pair of them being made.
 
 Every link is confirmed on the full shingle sets.
 
@@ -119,6 +123,27 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["class", "shingles"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            own = [np.frombuffer(v.as_buffer(), "<i8") for v in part.column(1)]
+            nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(own))], names=["class", "h"])
+
+
+def _linkable(members: DataFrame, classes: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Members ``(key, class, root)`` that can have a link to another root's in their bucket, with their size and rest."""
+    held = members.select("class").distinct()
+    rows = sets.join(held, "class", "left_semi").mapInArrow(_shingle_rows, "class bigint, h bigint")
+    single = rows.groupBy("h").agg(F.min("class").alias("class"), F.count("*").alias("n")).where("n = 1").groupBy("class").agg(F.count("*").alias("single"))
+    sizes = classes.select("class", F.col("n_shingles").alias("size")).join(held, "class", "left_semi").join(single, "class", "left")
+    able = sizes.select("class", "size", (F.col("size") - F.coalesce("single", F.lit(0))).alias("rest")).where(f"{DENOMINATOR} * rest >= {NUMERATOR} * size")
+    left = members.select("key", "class", "root").join(able, "class")
+    mixed = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return cut(left.join(mixed, "key"), name)
+
+
 def _measured(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -180,8 +205,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     open_ = cut(labelled.join(mixed, "key"), "mixed")
-    x, y = (open_.select("key", F.col("class").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
-    pairs = x.join(y, "key").where("ra < rb").select("a", "b").distinct()
+    able = _linkable(_linkable(open_, classes, sets, "linkable"), classes, sets, "linkable")
+    x, y = (able.select("key", F.col("class").alias(s), F.col("root").alias(f"r{s}"), F.col("size").alias(f"n{s}"), F.col("rest").alias(f"m{s}")) for s in "ab")
+    possible = f"ra < rb and {DENOMINATOR} * least(ma, mb) >= {NUMERATOR} * (na + nb - least(ma, mb))"
+    pairs = x.join(y, "key").where(possible).select("a", "b").distinct()
     third = cut(_confirmed(_measured(pairs, classes).select("a", "b"), sets), "third")
     if not third.isEmpty():
         labels = components(labels.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(as_links(third)))
