@@ -11,13 +11,14 @@ A bucket's members are not paired with one another at once:
 
 1. each class is tested against the least member of its buckets, the nearest first;
    what is confirmed makes a forest, whose trees are contracted;
-2. the nearest untested link to a least member between any two trees is tested;
-3. last, members of one bucket that are in different components, and only they, are
-   paired, so that no link is lost. Before that, shingles that only one of these classes
-   has are counted: with ``rest`` others, a class has no link if ``rest / size`` is below
-   the similarity sought, and a pair none if the lesser rest is too small for it. That
-   bound is exact and linear; it clears texts that share a passage, and near copies too
-   far from each other, without a pair of them being made.
+2. in buckets that still hold several trees, shingles that only one of these classes
+   has are counted. With ``rest`` others, a class has no link if ``rest / size`` is below
+   the similarity sought, and a pair none if the lesser rest is too small for it: an exact
+   and linear bound, which clears texts that only share a passage. Every class left is
+   tested against its bucket's most central member, that with the greatest share of rest;
+3. last, members of one bucket that are still in different components and that the bound,
+   counted again, leaves linkable are compared by signature, in blocks of bounded size;
+   what is near enough is paired, so that no link is lost.
 
 Every link is confirmed on the full shingle sets.
 
@@ -45,6 +46,8 @@ POSITIONS, CHUNKS, ERRORS = 48, 8, 1
 ROWS = POSITIONS // CHUNKS
 #: Candidates that differ in more positions are not tested: 0.85 means 7.2 on average, 24 is 6.8 standard deviations off.
 MAX_DISTANCE = 24
+#: Members of a bucket that one task compares with as many others.
+BLOCK = 256
 NUMERATOR, DENOMINATOR = 85, 100
 
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"minimum {i}") | 1 for i in range(POSITIONS)], np.uint64)
@@ -144,6 +147,47 @@ def _linkable(members: DataFrame, classes: DataFrame, sets: DataFrame, name: str
     return cut(left.join(mixed, "key"), name)
 
 
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of two blocks of a bucket to the pairs across roots that the bound and the signatures leave possible.
+
+    A pair comes from the first key that its classes share, and only from there.
+    """
+    for batch in batches:
+        keys, same = batch.column(0).to_numpy(), (batch.column(1).to_numpy() == batch.column(2).to_numpy())
+        lists = batch.column(3)
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for g in range(batch.num_rows):
+            own = lists[g].values
+            node, root, size, rest, block = (own.field(n).to_numpy() for n in ("class", "root", "size", "rest", "block"))
+            sig = _matrix(own.field("sig"))
+            shared = keys_of(sig)
+            for i in range(len(node) - 1):
+                # Against the members after it: of the other block, or of its own where both are one.
+                at = slice(i + 1, None)
+                least = np.minimum(rest[i], rest[at])
+                good = (root[i] != root[at]) & (DENOMINATOR * least >= NUMERATOR * (size[i] + size[at] - least))
+                if not same[g]:
+                    good &= block[i] != block[at]
+                found = np.flatnonzero(good) + i + 1
+                found = found[(sig[i] != sig[found]).sum(axis=1) <= MAX_DISTANCE]
+                equal = shared[i] == shared[found]
+                first = shared[i][equal.argmax(axis=1)].view(np.int64) == keys[g]
+                found = found[first & equal.any(axis=1)]
+                out_a.append(np.full(len(found), node[i]))
+                out_b.append(node[found])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+
+
+def _pairs(able: DataFrame, classes: DataFrame) -> DataFrame:
+    """Possible pairs within buckets; a large bucket is split into blocks, and every two blocks meet in a task of their own."""
+    counts = cut(able.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bucket-sizes")
+    signed = able.join(classes.select("class", "sig"), "class").join(counts, "key").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    spread = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    member = F.struct("class", "root", "size", "rest", "block", "sig")
+    met = spread.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(member).alias("members"))
+    return met.mapInArrow(_block_pairs, "a bigint, b bigint")
+
+
 def _measured(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     a = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sig").alias("sig_a"))
     b = classes.select(F.col("class").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sig").alias("sig_b"))
@@ -188,28 +232,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     nearest = links.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("at")).select("a", "at.b")
     tree = _roots(_confirmed(nearest, sets).select(F.col("a").alias("node"), F.col("b").alias("parent")))
 
-    def crossing(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends have different roots, with the roots."""
-        x, y = (labels.select(F.col("node").alias(s), F.col("root").alias(f"r{s}")) for s in "ab")
-        out = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
-        return out.where("ra <> rb")
+    def mixed(labels: DataFrame, name: str) -> DataFrame:
+        """Members of the buckets that hold more than one component."""
+        named = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
+        keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        return _linkable(cut(named.join(keys, "key"), "mixed"), classes, sets, name)
 
-    tested = links.join(nearest, ["a", "b"], "left_anti")
-    between = crossing(tested, tree).groupBy(F.least("ra", "rb").alias("r"), F.greatest("ra", "rb").alias("s")).agg(F.min(F.struct("distance", "a", "b")).alias("at")).select("at.a", "at.b")
-    second = cut(_confirmed(between, sets), "second")
-    tree_links = tree.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    able = mixed(tree, "linkable")
+    centres = able.groupBy("key").agg(F.max(F.struct(F.expr("rest / size").alias("share"), F.col("class").alias("b"), F.col("root").alias("rb"))).alias("at")).select("key", "at.b", "at.rb")
+    spokes = able.join(cut(centres, "centres"), "key").where("root <> rb").select(F.col("class").alias("a"), "b").distinct()
+    second = cut(_confirmed(_measured(spokes, classes).select("a", "b"), sets), "second")
     as_links = partial(lambda d: d.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    labels = components(tree_links.unionByName(as_links(second)))
-
-    # Buckets that still hold more than one component.
-    labelled = members.join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(labelled.join(mixed, "key"), "mixed")
-    able = _linkable(_linkable(open_, classes, sets, "linkable"), classes, sets, "linkable")
-    x, y = (able.select("key", F.col("class").alias(s), F.col("root").alias(f"r{s}"), F.col("size").alias(f"n{s}"), F.col("rest").alias(f"m{s}")) for s in "ab")
-    possible = f"ra < rb and {DENOMINATOR} * least(ma, mb) >= {NUMERATOR} * (na + nb - least(ma, mb))"
-    pairs = x.join(y, "key").where(possible).select("a", "b").distinct()
-    third = cut(_confirmed(_measured(pairs, classes).select("a", "b"), sets), "third")
+    labels = components(tree.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(as_links(second)))
+
+    able = mixed(labels, "still-linkable")
+    pairs = _pairs(able, classes)
+    third = cut(_confirmed(pairs, sets), "third")
     if not third.isEmpty():
         labels = components(labels.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(as_links(third)))
 
