@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,7 +30,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Nothing refers to the finished job's shuffles any more: let the driver drop their files.
+    # Nothing refers to the shuffles of earlier jobs any more: let the driver drop their files.
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -12,10 +12,14 @@ least ``MIN_WORDS`` words.
 ``spare_copies`` leaves lines that a text shares with one text that holds most of its
 words: such a text is a copy, which is for document-level deduplication to judge.
 
-Only hashes are shuffled for all chunks, bytes only for candidates. Cases: null and empty
-texts have no lines and stay; rows equal in id and text are one text; a text of any
-length is cut whole; a text all of whose lines go becomes empty; an empty table gives an
-empty result; other columns are kept as they are.
+A skeleton of each text (hashes, ends and word counts of its lines) is written once; all
+searching is done on skeletons. Texts are shuffled twice: to compare the bytes of what is
+to go with those of what stays, white space between lines aside, and to take it out. A
+hash whose occurrences differ in bytes removes nothing.
+
+Cases: null, empty and blank texts have no lines and stay; rows equal in id and text are
+one text; a text of any length is cut whole; a text all of whose lines go becomes empty;
+an empty table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,165 +37,224 @@ from pyspark.sql import functions as F
 from .common import cut
 from .shingles import mix
 
-ROLL, ONE_IN, MAX_LINES = 2, 2, 16
+ROLL, ONE_IN = 2, 2
 MIN_WORDS, COPY_SHARE = 35, 0.6
 
 _END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
 _ROLLING = np.array([xxhash.xxh3_64_intdigest(f"line {i}") | 1 for i in range(ROLL)], np.uint64)
+_GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def lines_of(text: str) -> tuple[list[bytes], list[int]]:
-    """Trimmed bytes of every line, and where it ends in the text; blank ones belong to the line before."""
-    ends = [m.end() for m in _END.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    lines, out, at = [], [], 0
-    for end in ends:
+def lines_of(text: str) -> tuple[list[str], list[int]]:
+    """The trimmed lines that are not blank, and where each ends in the text; blank ones belong to the line before."""
+    lines, ends, at = [], [], 0
+    for m in _END.finditer(text):
+        end = m.end()
         own = text[at:end].strip()
-        if own or not lines:
-            lines.append(own.encode())
-            out.append(end)
-        else:
-            out[-1] = end
+        if own:
+            lines.append(own)
+            ends.append(end)
+        elif ends:
+            ends[-1] = end
         at = end
-    return lines, out
+    if own := text[at:].strip():
+        lines.append(own)
+        ends.append(len(text))
+    elif ends:
+        ends[-1] = len(text)
+    return lines, ends
 
 
-def chunks_of(lines: list[bytes]) -> tuple[list[int], np.ndarray]:
-    """Where each chunk ends, in lines, and its hash."""
-    n = len(lines)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, n)
+def chunks_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks of several texts whose lines follow one another: first line, end, and hash of each; none crosses a text's end."""
+    n = len(hashes)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    ends = np.cumsum(counts)
+    heads = np.zeros(n, bool)
+    heads[(ends - counts)[counts > 0]] = True
     rolled = hashes * _ROLLING[0]
     for i in range(1, ROLL):
-        rolled[i:] += hashes[: n - i] * _ROLLING[i]
-    cuts = np.flatnonzero(mix(rolled) % np.uint64(ONE_IN) == 0) + 1
-    ends, at = [], 0
-    for end in [*cuts.tolist(), n]:
-        while end - at > MAX_LINES:
-            at += MAX_LINES
-            ends.append(at)
-        if end > at:
-            ends.append(end)
-            at = end
-    # A chunk's hash from running sums: the place in the chunk is the factor's exponent.
-    out = np.empty(len(ends), np.uint64)
-    at = 0
-    for k, end in enumerate(ends):
-        value = end - at
-        for h in hashes[at:end].tolist():
-            value = (value * 0x9E3779B97F4A7C15 + h) & 0xFFFFFFFFFFFFFFFF
-        out[k], at = value, end
-    return ends, mix(out)
-
-
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = np.zeros(n, np.uint64)
+        before[i:] = hashes[: n - i]
+        for k in range(i):  # nothing rolls over from the text before
+            before[k:][heads[: n - k]] = 0
+        rolled += before * _ROLLING[i]
+    last = mix(rolled) % np.uint64(ONE_IN) == 0
+    last[ends[counts > 0] - 1] = True
+    stop = np.flatnonzero(last) + 1
+    start = np.concatenate([[0], stop[:-1]])
+    place = np.arange(n) - np.repeat(start, stop - start)
+    parts = mix(hashes + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLDEN))
+    return start, stop, mix(np.add.reduceat(parts, start) + (stop - start).astype(np.uint64))
+
+
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, chunks = [], []
+        hashes, ends, words = [], [], []
         for text in batch.column(2):
-            own = text.as_py()
-            hashes = chunks_of(lines_of(own)[0])[1].view(np.int64) if own else np.empty(0, np.int64)
-            counts.append(len(hashes))
-            chunks.append(hashes)
-        counts_ = np.array(counts, np.int64)
-        chunk = np.concatenate(chunks) if chunks else np.empty(0, np.int64)
-        index = np.concatenate([np.arange(n) for n in counts]) if chunks else chunk
-        rows = pa.array(np.repeat(np.arange(len(counts)), counts_))
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(index.astype(np.int32)), pa.array(chunk)], names=["id", "th", "chunk", "h"])
+            lines, at = lines_of(text.as_py() or "")
+            hashes.append(np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines)).tobytes())
+            ends.append(np.array(at, np.int32).tobytes())
+            words.append(np.array([x.count(" ") + 1 for x in lines], np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (hashes, ends, words))], names=["id", "th", "hashes", "ends", "words"])
 
 
-_CANDIDATE = "id bigint, th bigint, h bigint, line int, start int, ends array<int>, words array<int>, total int, body binary"
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = batch.column(2).to_pylist()
+        counts = np.array([len(x) // 8 for x in raw], np.int64)
+        start, _, h = chunks_of(np.frombuffer(b"".join(raw), np.uint64), counts)
+        row = np.repeat(np.arange(len(raw)), counts)[start] if len(start) else np.empty(0, np.int64)
+        first = np.searchsorted(row, np.arange(len(raw)))
+        index = (np.arange(len(row)) - first[row]).astype(np.int32)
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index), pa.array(h.view(np.int64))], names=["id", "th", "chunk", "h"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated chunks with their bytes, and the lines that touch a run of them, in every length."""
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.binary())
-    names = [x.split()[0] for x in _CANDIDATE.split(", ")]
+_OCCURRENCE = "h bigint, id bigint, th bigint, line int, lines int, start int, stop int, words int, total int"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated chunks, and the lines of the next chunks that touch a run of them, in every length.
+
+    A run that could not reach ``MIN_WORDS`` even with the chunks beside it is left out.
+    """
+    types = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 6)
+    names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            rows = []
-            for id_, th, text, chunk_list in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                lines, ends = lines_of(text)
-                words = [len(x.split()) for x in lines]
-                total = sum(words)
-                cuts, hashes = chunks_of(lines)
-                starts = [0, *cuts]
-                repeated = set(chunk_list)
-
-                def add(h: int, a: int, b: int) -> None:
-                    rows.append((id_, th, h, a, ends[a - 1] if a else 0, ends[a:b], words[a:b], total, b"\n".join(lines[a:b])))  # noqa: B023
-
-                for c in repeated:
-                    a, b, h = starts[c], starts[c + 1], int(hashes[c])
-                    add(int(np.uint64(h).view(np.int64)), a, b)
-                    if c and c - 1 not in repeated:
-                        for k in range(a - 1, starts[c - 1] - 1, -1):
-                            add(xxhash.xxh3_64_intdigest(b"\n".join(lines[k:a]), seed=h) - (1 << 63), k, a)
-                    if c + 2 < len(starts) and c + 1 not in repeated:
-                        for k in range(b + 1, starts[c + 2] + 1):
-                            add(xxhash.xxh3_64_intdigest(b"\n".join(lines[b:k]), seed=h ^ 1) - (1 << 63), b, k)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
-
-
-def _decide(found: list[dict], id_: int | None, th: int, spare_copies: bool) -> tuple[list[tuple[int, int]], int]:
-    """Spans that go, and their words."""
+        rows: list[tuple] = []
+        for id_, th, raw, raw_ends, raw_words, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hashes = np.frombuffer(raw, np.uint64)
+            start, stop, own = chunks_of(hashes, np.array([len(hashes)]))
+            ends = [0, *np.frombuffer(raw_ends, np.int32).tolist()]
+            before = [0, *np.cumsum(np.frombuffer(raw_words, np.int32)).tolist()]
+            start, stop, total = start.tolist(), stop.tolist(), before[-1]
+
+            def add(h: int, a: int, b: int) -> None:
+                rows.append((h - (1 << 64) if h >> 63 else h, id_, th, a, b - a, ends[a], ends[b], before[b] - before[a], total))  # noqa: B023
+
+            runs: list[list[int]] = []
+            for c in sorted(chunks):
+                if runs and runs[-1][-1] == c - 1:
+                    runs[-1].append(c)
+                else:
+                    runs.append([c])
+            for run in runs:
+                left, right = start[max(0, run[0] - 1)], stop[min(len(stop) - 1, run[-1] + 1)]
+                if before[right] - before[left] < MIN_WORDS:
+                    continue
+                for c in run:
+                    add(int(own[c]), start[c], stop[c])
+                a, b = start[run[0]], stop[run[-1]]
+                f = int(own[run[0]]) ^ 1
+                for k in range(a - 1, left - 1, -1):
+                    f = (f * _GOLDEN + int(hashes[k])) & _MASK
+                    add(f, k, a)
+                f = int(own[run[-1]]) ^ 2
+                for k in range(b, right):
+                    f = (f * _GOLDEN + int(hashes[k])) & _MASK
+                    add(f, b, k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _decide(found: list[tuple], text: tuple, spare_copies: bool) -> tuple[list[tuple[int, int]], int, list[tuple]]:
+    """Of one text's entries ``(line, lines, start, stop, words, total, keeper, h)``: spans that go, their words, the entries used."""
     if spare_copies:
         shares: Counter = Counter()
-        for x in found:
-            shares[x["keeper_id"], x["keeper_th"]] += sum(x["words"])
-        (most, n) = shares.most_common(1)[0]
-        if most != (id_, th) and n >= COPY_SHARE * found[0]["total"]:
-            found = [x for x in found if (x["keeper_id"], x["keeper_th"]) != most]
-    lines: dict[int, tuple[int, int, int]] = {}
-    for x in found:
-        at = x["start"]
-        for i, (end, words) in enumerate(zip(x["ends"], x["words"], strict=True)):
-            lines[x["line"] + i] = (at, end, words)
-            at = end
-    spans, gone, run = [], 0, []
+        covered: dict = {}
+        for line, lines, _, _, words, _, keeper, _ in sorted(found, key=lambda x: (x[0], -x[1])):
+            if line >= covered.get(keeper, 0):
+                shares[keeper] += words
+                covered[keeper] = line + lines
+        most, n = shares.most_common(1)[0]
+        if most != text and n >= COPY_SHARE * found[0][5]:
+            found = [x for x in found if x[6] != most]
+    spans, gone, used, run, entries = [], 0, [], None, []
 
     def close() -> None:
         nonlocal gone
-        n = sum(w for _, _, w in run)
-        if n >= MIN_WORDS:
-            spans.append((run[0][0], run[-1][1]))
-            gone += n
+        if run and run[3] >= MIN_WORDS:
+            spans.append((run[1], run[2]))
+            gone += int(run[3])
+            used.extend(entries)
 
-    for i in sorted(lines):
-        if run and i - 1 not in lines:
+    # run: its last line's end, start and stop in the text, words. Entries that overlap add the share that is new.
+    for x in sorted(found, key=lambda x: (x[0], -x[1])):
+        line, lines, start, stop, words = x[:5]
+        if run is None or line > run[0]:
             close()
-            run = []
-        run.append(lines[i])
-    if run:
+            run, entries = [line + lines, start, stop, words], [x]
+        elif line + lines > run[0]:
+            run = [line + lines, run[1], stop, run[3] + words * (line + lines - run[0]) / lines]
+            entries.append(x)
+    close()
+    return spans, gone, used
+
+
+_REMOVED = "id bigint, th bigint, removed array<struct<start:int,end:int>>, removed_words bigint, used array<struct<h:bigint,start:int,stop:int>>"
+
+
+def _decided(gone: DataFrame, spare_copies: bool) -> DataFrame:
+    """Entries stream by, sorted by text; only one text's are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        uses = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+        types, names = (pa.int64(), pa.int64(), spans, pa.int64(), uses), ["id", "th", "removed", "removed_words", "used"]
+        at, held, out = None, [], []
+
+        def close() -> None:
+            if held:
+                cuts, words, used = _decide(held, at, spare_copies)
+                if cuts:
+                    out.append((*at, [{"start": a, "end": b} for a, b in cuts], words, [{"h": x[7], "start": x[2], "stop": x[3]} for x in used]))
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for id_, th, line, lines, start, stop, words, total, kid, kth, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (id_, th):
+                    close()
+                    at, held = (id_, th), []
+                held.append((line, lines, start, stop, words, total, (kid, kth), h))
+            if out:
+                yield flush()
         close()
-    return spans, gone
+        yield flush()
+
+    ordered = gone.repartition("id", "th").sortWithinPartitions("id", "th")
+    return ordered.select("id", "th", "line", "lines", "start", "stop", "words", "total", "keeper.id", "keeper.th", "h").toDF(*"id th line lines start stop words total kid kth h".split()).mapInArrow(run, _REMOVED)
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", spare_copies: bool = False) -> DataFrame:
     """``(id, th, removed array<struct<start,end>>, removed_words)`` of every text that loses lines."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
-    chunks = rows.mapInArrow(_hashes, "id bigint, th bigint, chunk int, h bigint")
+    skeletons = cut(rows.mapInArrow(_skeletons, "id bigint, th bigint, hashes binary, ends binary, words binary"), "skeletons")
+    chunks = skeletons.select("id", "th", "hashes").mapInArrow(_chunk_rows, "id bigint, th bigint, chunk int, h bigint")
     repeated = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
-    own = cut(chunks.join(repeated, "h", "left_semi").groupBy("id", "th").agg(F.collect_set("chunk").alias("chunks")), "repeated-chunks")
-    match = F.coalesce("id", F.lit(-1))
-    with_text = own.withColumn("at", match).drop("id").join(rows.withColumn("at", match), ["at", "th"])
-    found = cut(with_text.select("id", "th", "text", "chunks").mapInArrow(_candidates, _CANDIDATE), "passages")
-    keepers = cut(found.groupBy("h", "body").agg(F.min(F.struct("id", "th", "line")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "body", "keeper"), "keepers")
-    others = found.join(keepers, ["h", "body"]).where(~F.struct("id", "th", "line").eqNullSafe(F.col("keeper")))
-    entry = F.struct("line", "start", "ends", "words", "total", F.col("keeper.id").alias("keeper_id"), F.col("keeper.th").alias("keeper_th"))
-    per_text = others.groupBy("id", "th").agg(F.collect_set(entry).alias("found"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            out = []
-            for id_, th, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                gone, words = _decide(found, id_, th, spare_copies)
-                if gone:
-                    out.append((id_, th, [{"start": a, "end": b} for a, b in gone], words))
-            types = (pa.int64(), pa.int64(), spans, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["id", "th", "removed", "removed_words"])
-
-    return cut(per_text.mapInArrow(decide, "id bigint, th bigint, removed array<struct<start:int,end:int>>, removed_words bigint"), "removed")
+    at = F.coalesce("id", F.lit(-1))
+    own = chunks.join(repeated, "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("chunk").alias("chunks"))
+    held = skeletons.withColumn("at", at).join(own, ["at", "th"]).select("id", "th", "hashes", "ends", "words", "chunks")
+    found = cut(held.mapInArrow(_occurrences, _OCCURRENCE).distinct(), "occurrences")
+    place = F.struct("id", "th", "line")
+    keepers = cut(found.groupBy("h").agg(F.min(F.struct("id", "th", "line", "start", "stop")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper"), "keepers")
+    gone = cut(found.join(keepers, "h").where(~place.eqNullSafe(F.struct("keeper.id", "keeper.th", "keeper.line"))), "to-go")
+    removed = cut(_decided(gone, spare_copies), "removed")
+
+    # The bytes of all that goes beside those of what stays: equal hashes must mean equal bytes.
+    used = removed.select("id", "th", F.explode("used").alias("u")).select("id", "th", "u.*")
+    kept = keepers.join(used.select("h").distinct(), "h", "left_semi").select("keeper.id", "keeper.th", "h", "keeper.start", "keeper.stop")
+    spots = cut(used.unionByName(kept).groupBy(at.alias("at"), "th").agg(F.collect_set(F.struct("h", "start", "stop")).alias("spots")), "spots")
+    bodies = rows.withColumn("at", at).join(spots, ["at", "th"]).select("text", F.explode("spots").alias("s"))
+    body = F.trim(F.regexp_replace(F.expr("substring(text, s.start + 1, s.stop - s.start)"), r"(?U)\s+", " "))
+    differ = cut(bodies.select(F.col("s.h").alias("h"), body.alias("body")).groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h"), "differ")
+    if not differ.isEmpty():
+        removed = cut(_decided(gone.join(differ, "h", "left_anti"), spare_copies), "removed")
+    return removed.drop("used")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", spare_copies: bool = False) -> DataFrame:
