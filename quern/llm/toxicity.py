@@ -28,12 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .shingles import shingle_set
 
-SAMPLE, MAX_TERMS = 20_000, 2_000
+SAMPLE, MAX_TERMS = 20_000, 400
+#: How many times as often a term must be in toxic texts.
+MIN_RATIO = 20
 PREFIXES = range(3, 8)
 WINDOW_CHARS, WINDOW_WORDS = 80, 6
 #: Pairs of quotation marks, and words that address someone.
@@ -45,9 +48,9 @@ _FLUSH, _CACHE = 400_000, 300_000
 
 
 def allowed(term: str) -> int:
-    """Edits that may separate a term from its misspelling; beginnings of words need more letters."""
-    n = len(term.rstrip("*"))
-    return (0 if n < 7 else 1) if term.endswith("*") else 0 if n < 5 else 1 if n < 9 else 2
+    """Edits that may separate a term from its misspelling; beginnings of words are matched as they are."""
+    n = len(term)
+    return 0 if n < 5 or term.endswith("*") else 1 if n < 9 else 2
 
 
 class Lexicon:
@@ -59,21 +62,21 @@ class Lexicon:
         self.lengths = sorted({len(b) for b in self.beginnings})
         self.root: dict = {}
         pieces: set[str] = set()
-        longest = 0
+        sizes: set[int] = set()
         for term in terms:
             d = allowed(term)
             if not d:
                 continue
-            bare = term.rstrip("*")
+            bare = term
             node = self.root
             for c in bare:
                 node = node.setdefault(c, {})
             node[""] = (term, d)
-            longest = 10**9 if term.endswith("*") else max(longest, len(bare) + d)
+            sizes |= set(range(len(bare) - d, len(bare) + d + 1))
             # Of d + 1 pieces of a term, d edits leave one whole.
             cuts = [len(bare) * i // (d + 1) for i in range(d + 2)]
             pieces |= {bare[a:b] for a, b in zip(cuts, cuts[1:], strict=False)}
-        self.longest = longest
+        self.sizes = sizes
         self.pieces = re.compile("|".join(map(re.escape, sorted(pieces)))) if pieces else None
         self.cache: dict[str, tuple[str, int] | None] = {}
 
@@ -92,7 +95,7 @@ class Lexicon:
         for n in self.lengths:
             if token[:n] in self.beginnings and len(token) >= n:
                 return token[:n] + "*", 0
-        if self.pieces is None or len(token) > self.longest or not self.pieces.search(token):
+        if self.pieces is None or len(token) not in self.sizes or not self.pieces.search(token):
             return None
         best: tuple[int, str] | None = None
         # The automaton's state is the row of distances between the trie's path and the token's beginnings.
@@ -102,7 +105,7 @@ class Lexicon:
             for c, child in node.items():
                 if c == "":
                     term, d = child
-                    far = min(row) if term.endswith("*") else row[-1]
+                    far = row[-1]
                     if far <= d and (best is None or (far, term) < best):
                         best = (far, term)
                     continue
@@ -171,6 +174,16 @@ class Model:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    factors = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
+    for batch in batches:
+        marks = []
+        for text in batch.column(0):
+            own = shingle_set(text.as_py())
+            marks.append([int((own * np.uint64(f)).min().view(np.int64)) if len(own) else 0 for f in factors])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(3))], names=["text", "y", "k", "m0", "m1", "m2"])
+
+
 def _terms_of(text: str) -> set[str]:
     words = set(_WORD.findall(text.lower()))
     out = {w for w in words if len(w) >= 3}
@@ -206,7 +219,7 @@ def _choose(rows: list, candidates: int, toxic: int, clean: int) -> dict[str, fl
         n, p = pos + neg, pos / (pos + neg)
         bound = n * (p * math.log(p / rate) + ((1 - p) * math.log((1 - p) / (1 - rate)) if p < 1 else 0))
         ratio = ((pos + 0.5) / (toxic + 1)) / ((neg + 0.5) / (clean + 1))
-        if p > rate and bound >= need and ratio >= 5:
+        if p > rate and bound >= need and ratio >= MIN_RATIO:
             scored.append((round(bound, 6), not term.endswith("*"), len(term), term, pos, math.log(ratio)))
     out: dict[str, float] = {}
     taken: list[tuple[str, int]] = []
@@ -247,7 +260,11 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     per_id = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     chosen = per_id.orderBy(F.xxhash64("k"), "k").limit(sample)
     texts = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    drawn = cut(texts.join(F.broadcast(chosen), "k").select("text", "y"), "labelled")
+    # A family of copies is one witness, not hundreds: of texts that share a minimum of their shingles one is kept.
+    marked = texts.join(F.broadcast(chosen), "k").select("text", "y", "k").mapInArrow(_marks, "text string, y int, k bigint, m0 bigint, m1 bigint, m2 bigint")
+    for m in ("m0", "m1", "m2"):
+        marked = marked.withColumn("at", F.row_number().over(Window.partitionBy(m).orderBy("k", "text"))).where("at = 1")
+    drawn = cut(marked.select("text", "y"), "labelled")
     size = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     prior = math.log((toxic + 0.5) / (clean + 0.5))
@@ -269,7 +286,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     # Words near a term that clean texts use: at most as many as the sample's toxic texts could be mistaken by.
     near = drawn.mapInArrow(near_words, "token string, y bigint").groupBy("token").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    clean_words = near.where("neg > 0 and neg * 4 >= pos").orderBy(F.desc("neg"), "token").limit(10 * MAX_TERMS).collect()
+    clean_words = near.where("neg > 0 and neg * 4 >= pos").orderBy(F.desc("neg"), "token").limit(50 * MAX_TERMS).collect()
     model = Model(weights, frozenset(r["token"] for r in clean_words), [0.0] * 5)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
