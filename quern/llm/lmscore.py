@@ -92,12 +92,13 @@ class Vocabulary:
         for w in top:
             if w in self.counts and w != END:
                 self.shape_counts[shape(w)] -= (self.counts[w], 1)
-        self.codes: dict[bytes, tuple[int, int, float, float, bool]] = {}
+        self.codes: dict[bytes, int] = {}
+        self.rows = [np.empty(0, t) for t in (np.int64, np.int64, float, float, bool)]
         self.log_base = math.log10(total + 0.5 * (distinct + 1))
         self.log_shape = [math.log10(max(c, 0.0) + 0.5 * (max(v, 0.0) + 1)) for c, v in self.shape_counts]
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"codes": {}}
+        return self.__dict__ | {"codes": {}, "rows": [x[:0] for x in self.rows]}
 
     def model(self) -> Gru:
         words = WORD_CLASSES * PER_CLASS
@@ -116,14 +117,17 @@ class Vocabulary:
             return WORD_CLASSES * PER_CLASS + s, WORD_CLASSES + s, 0.0, -self.log_shape[s], False
         return WORD_CLASSES * PER_CLASS + s, WORD_CLASSES + s, log_c, log_c - self.log_shape[s], True
 
-    def look_up(self, words: set[bytes]) -> dict:
+    def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """For each text the rows of its words in ``self.rows``, the columns of ``code``; the table is bounded."""
+        if len(self.codes) > _FLUSH:
+            self.codes, self.rows = {}, [np.empty(0, t) for t in (np.int64, np.int64, float, float, bool)]
         codes = self.codes
-        if len(codes) > _FLUSH:
-            codes.clear()
-        for w in words:
-            if w not in codes:
-                codes[w] = self.code(w)
-        return codes
+        missing = [w for w in {w for words in texts for w in words} if w not in codes]
+        if missing:
+            new = zip(*map(self.code, missing), strict=True)
+            self.rows = [np.concatenate([old, np.array(x, old.dtype)]) for old, x in zip(self.rows, new, strict=True)]
+            codes.update(zip(missing, range(len(codes), len(codes) + len(missing)), strict=True))
+        return [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in texts]
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -155,11 +159,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r["token"]), r["c"]) for r in known], sums["n"], sums["v"], {r["shape"]: (r["c"], r["v"]) for r in shapes})
 
 
-def _arrays(words: list[bytes], codes: dict) -> tuple[np.ndarray, np.ndarray]:
-    own = [codes[w] for w in words]
-    return np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64)
-
-
 def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column) -> Gru:
     """Rounds of local training on the partitions of ``texts``, averaged by tokens."""
     model = vocab.model()
@@ -173,8 +172,8 @@ def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column) -> Gru:
             def documents() -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 for batch in batches:
                     for t in batch.column(0):
-                        words = [*words_of(t.as_py()), END]
-                        yield _arrays(words, vocab.look_up(set(words)))
+                        (at,) = vocab.look_up([[*words_of(t.as_py()), END]])
+                        yield vocab.rows[0][at], vocab.rows[1][at]
 
             seen = own.train(documents(), vocab.symbols[END])
             if seen:
@@ -210,13 +209,14 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 coded, out = [], []
-                for t in batch.column(3):
-                    words = [*words_of(t.as_py()), END]
-                    codes = vocab.look_up(set(words))
-                    found = [codes[w] for w in words]
-                    rare = Counter(w for w, x in zip(words, found, strict=True) if not x[4])
-                    coded.append((np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)))
-                    out.append((len(words), sum(x[2] > _LOG_HALF for x in found if x[4]), math.fsum(x[2] for x in found), math.fsum(x[3] for x in found), list(rare.keys()), list(rare.values())))
+                texts = [[*words_of(t.as_py()), END] for t in batch.column(3)]
+                places = vocab.look_up(texts)
+                symbols, kinds, log_c, share, known = vocab.rows
+                seen = known & (log_c > _LOG_HALF)
+                for words, at_ in zip(texts, places, strict=True):
+                    rare = Counter([words[i] for i in np.flatnonzero(~known[at_])])
+                    coded.append((symbols[at_], kinds[at_]))
+                    out.append((len(words), int(seen[at_].sum()), float(log_c[at_].sum()), float(share[at_].sum()), list(rare.keys()), list(rare.values())))
                 ll = own.log_likelihood(coded, first) / math.log(10)
                 model_part = [float(a) + r[3] for a, r in zip(ll, out, strict=True)]
                 yield pa.RecordBatch.from_arrays(
