@@ -159,7 +159,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r["token"]), r["c"]) for r in known], sums["n"], sums["v"], {r["shape"]: (r["c"], r["v"]) for r in shapes})
 
 
-def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column) -> Gru:
+def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column, one_in: int = TRAIN_ONE_IN) -> Gru:
     """Rounds of local training on the partitions of ``texts``, averaged by tokens."""
     model = vocab.model()
     for k in range(ROUNDS):
@@ -180,7 +180,7 @@ def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column) -> Gru:
                 v = own.flat().astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "v", "w"])
 
-        sums = texts.where(F.pmod(pick, F.lit(TRAIN_ONE_IN)) == k).select(text).mapInArrow(run, "i bigint, v double, w double")
+        sums = texts.where(F.pmod(pick, F.lit(one_in)) == k % one_in).select(text).mapInArrow(run, "i bigint, v double, w double")
         mean = sums.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
         if len(mean):
             flat = np.empty(len(flat))
@@ -192,13 +192,13 @@ def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column) -> Gru:
 _SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_c double, model double, rare array<binary>, times array<int>"
 
 
-def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", train_one_in: int = TRAIN_ONE_IN) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
     training = rows.where(~F.col("held_out"))
     counts = token_counts(training.select("text"))
     vocab = vocabulary(counts)
-    model = train(training, vocab, "text", F.xxhash64("doc_id", "text"))
+    model = train(training, vocab, "text", F.xxhash64("doc_id", "text"), train_one_in)
     flat = model.flat()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
