@@ -71,30 +71,36 @@ def axis(name: str, kind: T.DataType):
 
 
 def collect(df: DataFrame, columns: list[str] | None = None, buckets: int = 100, common: int = 20, size_bytes: int | None = None) -> TableStats:
-    """Measured in one pass, and one more for each column's distribution."""
+    """Measured in one pass; columns with few distinct values take another two for their common ones."""
     fields = [f for f in df.schema if columns is None or f.name in columns]
     quoted = {f.name: F.col("`" + f.name.replace("`", "``") + "`") for f in fields}
+    axes = {f.name: at for f in fields if (at := axis(f.name, f.dataType)) is not None}
+    shares = [k / buckets for k in range(buckets + 1)]
     sums = [F.count("*").alias("rows")]
     for i, f in enumerate(fields):
         c = quoted[f.name]
         flat = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-        sums.append((F.lit(0) if flat else F.approx_count_distinct(c, 0.01)).alias(f"d{i}"))
+        sums.append((F.max(F.lit(0)) if flat else F.approx_count_distinct(c, 0.01)).alias(f"d{i}"))
         sums.append(F.avg(c.isNull().cast("double")).alias(f"n{i}"))
         width = F.octet_length(c.cast("string")) if not flat and not isinstance(f.dataType, T.BinaryType) else F.lit(16)
         sums.append(F.avg(width).alias(f"w{i}"))
+        if f.name in axes:
+            sums.append(F.percentile_approx(axes[f.name], shares, 10_000).alias(f"h{i}"))
     row = df.agg(*sums).first()
     total, out = row["rows"], {}
     for i, f in enumerate(fields):
-        histogram, most = (), ()
-        if total and (at := axis(f.name, f.dataType)) is not None:
-            counted = df.select(at.alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-            top = counted.orderBy(F.desc("n"), "v").limit(common).collect()
-            # A value is common if it has more than its share among the distinct ones.
-            most = tuple((r["v"], r["n"] / total) for r in top if r["n"] > 1.25 * total / max(1, row[f"d{i}"]))
-            rest = df.select(at.alias("v")).where(F.col("v").isNotNull() & ~F.col("v").isin([v for v, _ in most])) if most else df.select(at.alias("v"))
-            bounds = rest.agg(F.percentile_approx("v", [k / buckets for k in range(buckets + 1)], 10_000)).first()[0]
-            histogram = tuple(bounds) if bounds and bounds[0] != bounds[-1] else ()
-        out[f.name] = ColumnStats(float(row[f"d{i}"]), row[f"n{i}"] or 0.0, row[f"w{i}"] or 0.0, histogram, most)
+        bounds, most, distinct = (), (), float(row[f"d{i}"] or 0)
+        if f.name in axes and total:
+            bounds = row[f"h{i}"] or ()
+            if distinct * 10 <= total:  # otherwise no value is common
+                v = df.select(axes[f.name].alias("v")).where("v is not null")
+                top = v.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(common).collect()
+                # A value is common if it has more than its share among the distinct ones.
+                most = tuple((r["v"], r["n"] / total) for r in top if r["n"] > 1.25 * total / max(1.0, distinct))
+                if most:
+                    bounds = v.where(~F.col("v").isin([x for x, _ in most])).agg(F.percentile_approx("v", shares, 10_000)).first()[0] or ()
+        histogram = tuple(bounds) if bounds and bounds[0] != bounds[-1] else ()
+        out[f.name] = ColumnStats(distinct, row[f"n{i}"] or 0.0, row[f"w{i}"] or 0.0, histogram, most)
     if size_bytes is None:
         size_bytes = int(total * sum(s.avg_width for s in out.values()))
     return TableStats(total, size_bytes, out)

@@ -46,25 +46,37 @@ class SourceTable:
                 raise TableNotFound(table) from e
             raise
 
-    def stats(self) -> TableStats:
-        """Measured when first needed and again after the time to live; a failed refresh keeps what is there."""
+    def stats(self, columns: list[str] | None = None) -> TableStats:
+        """Of the columns that filters use, measured when first needed and again after the time to live; a failed refresh keeps what is there."""
         if self.fixed_stats is not None:
             return self.fixed_stats
+        wanted = self.schema.names if columns is None else [c for c in columns if c in self.schema.names]
         with self._lock:  # one refresh at a time
-            if self._held and time.monotonic() - self._held[0] < self.rules.statistics_ttl_secs:
-                return self._held[1]
+            fresh = self._held and time.monotonic() - self._held[0] < self.rules.statistics_ttl_secs
+            held = self._held[1] if self._held else TableStats()
+            missing = [c for c in wanted if not fresh or c not in held.columns]
+            if not missing and fresh:
+                return held
             try:
-                found = collect(self.df)
+                found = collect(self.full(), missing)
             except Exception:
                 if self._held is None:
                     raise
-                found = self._held[1]
-            self._held = (time.monotonic(), found)
-            return found
+                return held
+            known = {**(held.columns if fresh else {}), **found.columns}
+            width = sum(s.avg_width for s in known.values()) * len(self.schema.names) / max(1, len(known))
+            made = TableStats(found.row_count, int(found.row_count * width), known)
+            self._held = (self._held[0] if fresh else time.monotonic(), made)
+            return made
+
+    def full(self) -> DataFrame:
+        """The whole table, as statistics see it."""
+        return self.df
 
     def decide(self, filters: list[Node]) -> list[Decision]:
         needs = self.rules.policy in ("cost_based", "strict", "hinted") and filters
-        inputs = CostInputs(self.stats() if needs else TableStats(), self.indexes, kinds_of(self.schema, self.server_utf8))
+        used = list(dict.fromkeys(c for f in filters for c in f.columns()))
+        inputs = CostInputs(self.stats(used) if needs else TableStats(), self.indexes, kinds_of(self.schema, self.server_utf8))
         return decide(filters, self.rules, inputs, self.dialect)
 
     def plan(self, filters: list[Node] = (), columns: list[str] | None = None, limit: int | None = None, split: Split | None = None) -> ScanPlan:
@@ -163,8 +175,5 @@ class JdbcTable(SourceTable):
             return self.spark.read.jdbc(predicates=[s.predicate(self.dialect) or "1 = 1" for s in splits], **common)
         return self.spark.read.jdbc(**common)
 
-    def stats(self) -> TableStats:
-        if self.fixed_stats is None and self._held is None:
-            self.df_full = self.spark.read.jdbc(self.url, self.table, properties=self.reader_options())
-            self._held = (time.monotonic(), collect(self.df_full))
-        return self.fixed_stats or self._held[1]
+    def full(self) -> DataFrame:
+        return self.spark.read.jdbc(self.url, self.table, properties=self.reader_options())
