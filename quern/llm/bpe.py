@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 NONE = 1 << 62
-CACHE_WORDS, GROUP_CHARS, WIDE = 250_000, 4_000_000, 64
+CACHE_WORDS, GROUP_CHARS, WIDE = 80_000, 2_000_000, 64
 ADDED = " "  # begins no piece but an added token
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")

@@ -35,7 +35,7 @@ END = b"\n"  # no word holds white space
 WORD_CLASSES, PER_CLASS = 32, 32
 KNOWN, KNOWN_BYTES = 200_000, 48
 ROUNDS, TRAIN_ONE_IN = 2, 20
-_FLUSH = 300_000
+_FLUSH = 200_000
 
 _PUNCTUATION = frozenset(b".,;:!?")
 SHAPES = 24

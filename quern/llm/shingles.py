@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 150_000
 
 
 class _Hashes(dict):

@@ -44,7 +44,7 @@ QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 ADDRESS = frozenset("you your yours u ur du dich dir ihr euch tu te toi vous usted ustedes ti".split())
 
 _WORD = re.compile(r"\w+")
-_FLUSH, _CACHE = 400_000, 300_000
+_FLUSH, _CACHE = 120_000, 100_000
 
 
 def allowed(term: str) -> int:
@@ -207,7 +207,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[y].update(_terms_of(text.as_py() or ""))
             if len(counts[0]) + len(counts[1]) > _FLUSH:
                 yield flush()
-    yield flush()
+    yield flush()  # at most _FLUSH terms and one text's are held
 
 
 def _choose(rows: list, candidates: int, toxic: int, clean: int) -> dict[str, float]:
