@@ -158,6 +158,17 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, h, start, stop) lists to a row for each spot, with its text as lines between single spaces."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            h, body = [], []
+            for text, hs, starts, stops in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
+                h += hs
+                body += [" ".join(text[a:b].split()) for a, b in zip(starts, stops, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["h", "body"])
+
+
 def _decide(found: list[tuple], text: tuple, spare_copies: bool) -> tuple[list[tuple[int, int]], int, list[tuple]]:
     """Of one text's entries ``(line, lines, start, stop, words, total, keeper, h)``: spans that go, their words, the entries used."""
     if spare_copies:
@@ -249,9 +260,8 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sp
     used = removed.select("id", "th", F.explode("used").alias("u")).select("id", "th", "u.*")
     kept = keepers.join(used.select("h").distinct(), "h", "left_semi").select("keeper.id", "keeper.th", "h", "keeper.start", "keeper.stop")
     spots = cut(used.unionByName(kept).groupBy(at.alias("at"), "th").agg(F.collect_set(F.struct("h", "start", "stop")).alias("spots")), "spots")
-    bodies = rows.withColumn("at", at).join(spots, ["at", "th"]).select("text", F.explode("spots").alias("s"))
-    body = F.trim(F.regexp_replace(F.expr("substring(text, s.start + 1, s.stop - s.start)"), r"(?U)\s+", " "))
-    differ = cut(bodies.select(F.col("s.h").alias("h"), body.alias("body")).groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h"), "differ")
+    bodies = rows.withColumn("at", at).join(spots, ["at", "th"]).select("text", "spots.h", "spots.start", "spots.stop").mapInArrow(_bodies, "h bigint, body string")
+    differ = cut(bodies.groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h"), "differ")
     if not differ.isEmpty():
         removed = cut(_decided(gone.join(differ, "h", "left_anti"), spare_copies), "removed")
     return removed.drop("used")
