@@ -3,9 +3,9 @@
 Token counts come from every training text. The words that are most frequent are symbols
 of a recurrent model (see ``gru``), grouped into classes by frequency; all other words
 fall into classes by their shape, and inside a shape's class a word has its smoothed
-share of the class's counts. Every partition of the training texts trains a copy of the
-model on one text in ``TRAIN_ONE_IN`` each round, chosen by hash; the copies are averaged
-by the tokens they saw. What is gathered thus grows with the input.
+share of the class's counts. The rounds split the training texts between them by hash, so
+that the weights learn from every text once. In a round every partition trains a copy of
+the model on its texts of that round; the copies are averaged by the tokens they saw.
 
 Counts of the ``KNOWN`` most frequent words at most go to every task; the others are
 joined by hash with the tokens of the texts, each once a text.
@@ -34,7 +34,8 @@ from .shingles import words_of
 END = b"\n"  # no word holds white space
 WORD_CLASSES, PER_CLASS = 32, 32
 KNOWN, KNOWN_BYTES = 200_000, 48
-ROUNDS, TRAIN_ONE_IN = 2, 20
+ROUNDS = 2
+TRAIN_ONE_IN = ROUNDS  # each text in one round
 _FLUSH = 200_000
 
 _PUNCTUATION = frozenset(b".,;:!?")

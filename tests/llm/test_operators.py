@@ -238,6 +238,14 @@ def test_language_model(spark, odd, empty):
     assert lmscore.scores(odd, held).count() == odd.count() and lmscore.scores(empty, held).count() == 0
 
 
+def test_every_training_text_reaches_the_weights(spark):
+    texts = frame(spark, [(1, "one two three two one " * 20)]).select("text")
+    vocab = lmscore.vocabulary(lmscore.token_counts(texts))
+    untrained = vocab.model().flat()
+    for pick in (0, 1, 2, 7, 13, -1):
+        assert (lmscore.train(texts, vocab, "text", F.lit(pick)).flat() != untrained).any(), pick
+
+
 def test_gru_gradients():
     import numpy as np
 
