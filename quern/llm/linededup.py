@@ -1,13 +1,12 @@
-"""Repeated passages by content-defined chunks of lines.
+"""Repeated passages as runs of repeated lines.
 
 A text is cut into lines, and long lines at sentence ends; every line has a hash of its
-trimmed bytes. A rolling hash over the last ``ROLL`` line hashes decides where a chunk
-ends, so that the same lines are cut alike wherever they stand. Chunk hashes that occur
-more than once in the corpus are candidates. Where a run of them ends, the next chunk was
-cut by its surroundings, so its lines that touch the run are candidates too, in every
-length. Candidates are compared byte by byte; the occurrence with the least (doc_id, hash
-of the text, place) stays, every other one goes if the lines that go together have at
-least ``MIN_WORDS`` words.
+trimmed bytes. Line hashes that occur more than once in the corpus are candidates;
+adjacent ones are joined, and joined lines of fewer than ``MIN_WORDS`` words are left out.
+All lines of a passage that recurs are found this way, whatever stands around it.
+Candidates are compared byte by byte; the occurrence with the least (doc_id, hash of the
+text, place) stays, every other one goes if the lines that go together have at least
+``MIN_WORDS`` words.
 
 ``spare_copies`` leaves lines that a text shares with one text that holds most of its
 words: such a text is a copy, which is for document-level deduplication to judge.
@@ -42,7 +41,7 @@ MIN_WORDS, COPY_SHARE = 35, 0.6
 
 _END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
 _ROLLING = np.array([xxhash.xxh3_64_intdigest(f"line {i}") | 1 for i in range(ROLL)], np.uint64)
-_GOLDEN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def lines_of(text: str) -> tuple[list[str], list[int]]:
@@ -100,62 +99,37 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.binary()) for x in (hashes, ends, words))], names=["id", "th", "hashes", "ends", "words"])
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw = batch.column(2).to_pylist()
         counts = np.array([len(x) // 8 for x in raw], np.int64)
-        start, _, h = chunks_of(np.frombuffer(b"".join(raw), np.uint64), counts)
-        row = np.repeat(np.arange(len(raw)), counts)[start] if len(start) else np.empty(0, np.int64)
-        first = np.searchsorted(row, np.arange(len(raw)))
-        index = (np.arange(len(row)) - first[row]).astype(np.int32)
+        row = np.repeat(np.arange(len(raw)), counts)
+        index = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         at = pa.array(row)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index), pa.array(h.view(np.int64))], names=["id", "th", "chunk", "h"])
+        h = np.frombuffer(b"".join(raw), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index), pa.array(h)], names=["id", "th", "line", "h"])
 
 
 _OCCURRENCE = "h bigint, id bigint, th bigint, line int, lines int, start int, stop int, words int, total int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated chunks, and the lines of the next chunks that touch a run of them, in every length.
-
-    A run that could not reach ``MIN_WORDS`` even with the chunks beside it is left out.
-    """
-    types = (pa.int64(), pa.int64(), pa.int64(), *[pa.int32()] * 6)
+    """Repeated lines, without the runs of them that do not reach ``MIN_WORDS``."""
     names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
     for batch in batches:
-        rows: list[tuple] = []
-        for id_, th, raw, raw_ends, raw_words, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            hashes = np.frombuffer(raw, np.uint64)
-            start, stop, own = chunks_of(hashes, np.array([len(hashes)]))
-            ends = [0, *np.frombuffer(raw_ends, np.int32).tolist()]
-            before = [0, *np.cumsum(np.frombuffer(raw_words, np.int32)).tolist()]
-            start, stop, total = start.tolist(), stop.tolist(), before[-1]
-
-            def add(h: int, a: int, b: int) -> None:
-                rows.append((h - (1 << 64) if h >> 63 else h, id_, th, a, b - a, ends[a], ends[b], before[b] - before[a], total))  # noqa: B023
-
-            runs: list[list[int]] = []
-            for c in sorted(chunks):
-                if runs and runs[-1][-1] == c - 1:
-                    runs[-1].append(c)
-                else:
-                    runs.append([c])
-            for run in runs:
-                left, right = start[max(0, run[0] - 1)], stop[min(len(stop) - 1, run[-1] + 1)]
-                if before[right] - before[left] < MIN_WORDS:
-                    continue
-                for c in run:
-                    add(int(own[c]), start[c], stop[c])
-                a, b = start[run[0]], stop[run[-1]]
-                f = int(own[run[0]]) ^ 1
-                for k in range(a - 1, left - 1, -1):
-                    f = (f * _GOLDEN + int(hashes[k])) & _MASK
-                    add(f, k, a)
-                f = int(own[run[-1]]) ^ 2
-                for k in range(b, right):
-                    f = (f * _GOLDEN + int(hashes[k])) & _MASK
-                    add(f, b, k + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        rows: list[np.ndarray] = [np.empty((7, 0), np.int64)]
+        sizes = []
+        for raw, raw_ends, raw_words, own in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            line = np.sort(np.array(own, np.int64))
+            ends = np.concatenate([[0], np.frombuffer(raw_ends, np.int32)]).astype(np.int64)
+            words = np.frombuffer(raw_words, np.int32).astype(np.int64)
+            run = np.cumsum(np.diff(line, prepend=line[0]) > 1)
+            line = line[(np.bincount(run, words[line]) >= MIN_WORDS)[run]]
+            sizes.append(len(line))
+            rows.append(np.stack([np.frombuffer(raw, np.int64)[line], line, np.ones_like(line), ends[line], ends[line + 1], words[line], np.full_like(line, words.sum())]))
+        h, *rest = np.concatenate(rows, axis=1)
+        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in rest)], names=names)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,11 +219,11 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sp
     """``(id, th, removed array<struct<start,end>>, removed_words)`` of every text that loses lines."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     skeletons = cut(rows.mapInArrow(_skeletons, "id bigint, th bigint, hashes binary, ends binary, words binary"), "skeletons")
-    chunks = skeletons.select("id", "th", "hashes").mapInArrow(_chunk_rows, "id bigint, th bigint, chunk int, h bigint")
-    repeated = cut(chunks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    lines = skeletons.select("id", "th", "hashes").mapInArrow(_line_rows, "id bigint, th bigint, line int, h bigint")
+    repeated = cut(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     at = F.coalesce("id", F.lit(-1))
-    own = chunks.join(repeated, "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("chunk").alias("chunks"))
-    held = skeletons.withColumn("at", at).join(own, ["at", "th"]).select("id", "th", "hashes", "ends", "words", "chunks")
+    own = lines.join(repeated, "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("line").alias("own"))
+    held = skeletons.withColumn("at", at).join(own, ["at", "th"]).select("id", "th", "hashes", "ends", "words", "own")
     found = cut(held.mapInArrow(_occurrences, _OCCURRENCE).distinct(), "occurrences")
     place = F.struct("id", "th", "line")
     keepers = cut(found.groupBy("h").agg(F.min(F.struct("id", "th", "line", "start", "stop")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper"), "keepers")

@@ -196,6 +196,21 @@ def test_line_dedup(spark, odd, empty):
     assert sum(r["removed_words"] for r in linededup.dedup_lines(copies, spare_copies=True).collect()) == 0
 
 
+def test_short_passages_are_found_wherever_they_stand(spark):
+    rng = random.Random(29)
+    passages = [". ".join(words(rng, -(-40 // n)).capitalize() for _ in range(n)) + "." for n in range(1, 9) for _ in range(5)]
+    rows, own = [], {}
+    for k, passage in enumerate(passages):
+        for i in range(4):
+            # Two passages adjoin in the last text of every other passage.
+            shared = [passage, *([passages[k - 1]] if i == 3 and k % 2 else [])]
+            own[4 * k + i] = (sentences(rng, rng.randrange(5)), sentences(rng, rng.randrange(1, 5)))
+            rows.append((4 * k + i, " ".join([own[4 * k + i][0], *shared, own[4 * k + i][1]]).strip()))
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    for i, text in rows:
+        assert got[i]["text"].split() == (" ".join(own[i]).split() if i % 4 else text.split()), i
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(13)
     rows, labels = [], []
