@@ -9,7 +9,8 @@ text, place) stays, every other one goes if the lines that go together have at l
 ``MIN_WORDS`` words.
 
 ``spare_copies`` leaves lines that a text shares with one text that holds most of its
-words: such a text is a copy, which is for document-level deduplication to judge.
+words, if the full shingle sets of the two are as similar as ``neardup`` asks for: such a
+text is a copy, which document-level deduplication takes out.
 
 A skeleton of each text (hashes, ends and word counts of its lines) is written once; all
 searching is done on skeletons. Texts are shuffled twice: to compare the bytes of what is
@@ -24,7 +25,6 @@ an empty table gives an empty result; other columns are kept as they are.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .shingles import mix
+from .neardup import DENOMINATOR, NUMERATOR
+from .shingles import mix, shingle_set
 
 ROLL, ONE_IN = 2, 2
 MIN_WORDS, COPY_SHARE = 35, 0.6
@@ -143,18 +144,32 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["h", "body"])
 
 
-def _decide(found: list[tuple], text: tuple, spare_copies: bool) -> tuple[list[tuple[int, int]], int, list[tuple]]:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, th, kid, kth)`` of pairs whose full shingle sets reach the similarity of near-duplicates."""
+    for batch in batches:
+        alike = []
+        for one, two in zip(batch.column(4), batch.column(5), strict=True):
+            x, y = shingle_set(one.as_py()), shingle_set(two.as_py())
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            alike.append(DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both) > 0)
+        yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["id", "th", "kid", "kth"]).filter(pa.array(alike, pa.bool_()))
+
+
+def _without_copies(gone: DataFrame, rows: DataFrame) -> DataFrame:
+    """``gone`` without what near-duplicates share with the one text that holds most of their words."""
+    at = F.coalesce("id", F.lit(-1)).alias("at")
+    kat = F.coalesce("keeper.id", F.lit(-1)).alias("kat")
+    keyed = gone.select("*", at, kat, F.col("keeper.th").alias("kth"))
+    shares = keyed.where("at <> kat or th <> kth").groupBy("at", "th", "kat", "kth").agg(F.sum("words").alias("n"), F.max("total").alias("total"))
+    texts = rows.select(at, "th", "text").dropDuplicates(["at", "th"])
+    pairs = shares.where(F.col("n") >= COPY_SHARE * F.col("total")).select("at", "th", "kat", "kth").join(texts, ["at", "th"])
+    pairs = pairs.join(texts.toDF("kat", "kth", "other"), ["kat", "kth"]).select("at", "th", "kat", "kth", "text", "other")
+    copies = cut(pairs.mapInArrow(_alike, "id bigint, th bigint, kid bigint, kth bigint"), "copies").toDF("at", "th", "kat", "kth")
+    return keyed.join(copies, ["at", "th", "kat", "kth"], "left_anti").select(gone.columns)
+
+
+def _decide(found: list[tuple]) -> tuple[list[tuple[int, int]], int, list[tuple]]:
     """Of one text's entries ``(line, lines, start, stop, words, total, keeper, h)``: spans that go, their words, the entries used."""
-    if spare_copies:
-        shares: Counter = Counter()
-        covered: dict = {}
-        for line, lines, _, _, words, _, keeper, _ in sorted(found, key=lambda x: (x[0], -x[1])):
-            if line >= covered.get(keeper, 0):
-                shares[keeper] += words
-                covered[keeper] = line + lines
-        most, n = shares.most_common(1)[0]
-        if most != text and n >= COPY_SHARE * found[0][5]:
-            found = [x for x in found if x[6] != most]
     spans, gone, used, run, entries = [], 0, [], None, []
 
     def close() -> None:
@@ -180,7 +195,7 @@ def _decide(found: list[tuple], text: tuple, spare_copies: bool) -> tuple[list[t
 _REMOVED = "id bigint, th bigint, removed array<struct<start:int,end:int>>, removed_words bigint, used array<struct<h:bigint,start:int,stop:int>>"
 
 
-def _decided(gone: DataFrame, spare_copies: bool) -> DataFrame:
+def _decided(gone: DataFrame) -> DataFrame:
     """Entries stream by, sorted by text; only one text's are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +206,7 @@ def _decided(gone: DataFrame, spare_copies: bool) -> DataFrame:
 
         def close() -> None:
             if held:
-                cuts, words, used = _decide(held, at, spare_copies)
+                cuts, words, used = _decide(held)
                 if cuts:
                     out.append((*at, [{"start": a, "end": b} for a, b in cuts], words, [{"h": x[7], "start": x[2], "stop": x[3]} for x in used]))
 
@@ -228,7 +243,9 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sp
     place = F.struct("id", "th", "line")
     keepers = cut(found.groupBy("h").agg(F.min(F.struct("id", "th", "line", "start", "stop")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper"), "keepers")
     gone = cut(found.join(keepers, "h").where(~place.eqNullSafe(F.struct("keeper.id", "keeper.th", "keeper.line"))), "to-go")
-    removed = cut(_decided(gone, spare_copies), "removed")
+    if spare_copies:
+        gone = cut(_without_copies(gone, rows), "to-go-no-copies")
+    removed = cut(_decided(gone), "removed")
 
     # The bytes of all that goes beside those of what stays: equal hashes must mean equal bytes.
     used = removed.select("id", "th", F.explode("used").alias("u")).select("id", "th", "u.*")
@@ -237,7 +254,7 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sp
     bodies = rows.withColumn("at", at).join(spots, ["at", "th"]).select("text", "spots.h", "spots.start", "spots.stop").mapInArrow(_bodies, "h bigint, body string")
     differ = cut(bodies.groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h"), "differ")
     if not differ.isEmpty():
-        removed = cut(_decided(gone.join(differ, "h", "left_anti"), spare_copies), "removed")
+        removed = cut(_decided(gone.join(differ, "h", "left_anti")), "removed")
     return removed.drop("used")
 
 

@@ -211,6 +211,16 @@ def test_short_passages_are_found_wherever_they_stand(spark):
         assert got[i]["text"].split() == (" ".join(own[i]).split() if i % 4 else text.split()), i
 
 
+def test_only_near_duplicates_are_spared(spark):
+    rng = random.Random(31)
+    long, short = sentences(rng, 40), sentences(rng, 10)
+    near = long.rsplit(" ", 3)[0] + " " + words(rng, 3)
+    rows = [(1, long), (2, near), (3, short + " " + sentences(rng, 20)), (4, short + " " + sentences(rng, 3))]
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows), spare_copies=True).collect()}
+    assert got[2]["text"] == near and short not in got[4]["text"]
+    assert got[4]["removed_words"] == len(short.split())
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(13)
     rows, labels = [], []
