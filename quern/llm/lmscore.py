@@ -3,9 +3,12 @@
 Token counts come from every training text. The words that are most frequent are symbols
 of a recurrent model (see ``gru``), grouped into classes by frequency; all other words
 fall into classes by their shape, and inside a shape's class a word has its smoothed
-share of the class's counts. The rounds split the training texts between them by hash, so
-that the weights learn from every text once. In a round every partition trains a copy of
-the model on its texts of that round; the copies are averaged by the tokens they saw.
+share of the class's counts. Texts are read once more as symbols, two bytes each; training
+and scoring read those. The rounds split the training texts between them by hash, so that
+the weights learn from every text once. In a round every group of about ``GROUP_TOKENS``
+tokens trains a copy of the model; the copies are averaged by the tokens they saw, in the
+executors. Rounds and groups follow from the texts' hashes, so scores do not depend on how
+the table is cut into files.
 
 Counts of the ``KNOWN`` most frequent words at most go to every task; the others are
 joined by hash with the tokens of the texts, each once a text.
@@ -20,7 +23,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +39,20 @@ END = b"\n"  # no word holds white space
 WORD_CLASSES, PER_CLASS = 32, 32
 KNOWN, KNOWN_BYTES = 200_000, 48
 ROUNDS = 2
-TRAIN_ONE_IN = ROUNDS  # each text in one round
+#: Tokens of the group that trains one copy of the model; beyond ``MAX_GROUPS`` groups a round, groups grow.
+GROUP_TOKENS, MAX_GROUPS = 600_000, 1 << 14
+#: Rows of weights that one task adds up.
+FAN = 32
+#: Tokens that a task holds at a time, or one longer text.
+BLOCK_TOKENS, SCORED_TOKENS = 1_000_000, 2_000_000
 _FLUSH = 200_000
 
 _PUNCTUATION = frozenset(b".,;:!?")
 SHAPES = 24
 
+#: Symbol, logarithm of the count, logarithm of the share in the class, whether the count is known.
+_ROW = (np.int16, float, float, bool)
+
 
 def shape(word: bytes) -> int:
     """A class by what a word looks like: its first letter beyond ASCII, or its length and ending."""
@@ -94,7 +106,7 @@ class Vocabulary:
             if w in self.counts and w != END:
                 self.shape_counts[shape(w)] -= (self.counts[w], 1)
         self.codes: dict[bytes, int] = {}
-        self.rows = [np.empty(0, t) for t in (np.int64, np.int64, float, float, bool)]
+        self.rows = [np.empty(0, t) for t in _ROW]
         self.log_base = math.log10(total + 0.5 * (distinct + 1))
         self.log_shape = [math.log10(max(c, 0.0) + 0.5 * (max(v, 0.0) + 1)) for c, v in self.shape_counts]
 
@@ -103,25 +115,24 @@ class Vocabulary:
 
     def model(self) -> Gru:
         words = WORD_CLASSES * PER_CLASS
-        kinds = np.concatenate([self.word_counts.reshape(WORD_CLASSES, PER_CLASS).sum(axis=1), self.shape_counts[:, 0]])
-        return Gru(words, words + SHAPES, WORD_CLASSES + SHAPES, PER_CLASS, np.maximum(kinds, 0), self.word_counts)
+        return Gru(words, words + SHAPES, PER_CLASS, np.concatenate([self.word_counts, np.maximum(self.shape_counts[:, 0], 0)]))
 
-    def code(self, word: bytes) -> tuple[int, int, float, float, bool]:
-        """Symbol, class, the logarithms of its count and of its share in the class, and whether its count is known."""
+    def code(self, word: bytes) -> tuple[int, float, float, bool]:
+        """Symbol, the logarithms of the word's count and of its share in its class, and whether its count is known."""
         c = self.counts.get(word)
         own = self.symbols.get(word)
         log_c = math.log10((c or 0) + 0.5)
         if own is not None:
-            return own, own // PER_CLASS, log_c, 0.0, True
+            return own, log_c, 0.0, True
         s = shape(word)
         if c is None:
-            return WORD_CLASSES * PER_CLASS + s, WORD_CLASSES + s, 0.0, -self.log_shape[s], False
-        return WORD_CLASSES * PER_CLASS + s, WORD_CLASSES + s, log_c, log_c - self.log_shape[s], True
+            return WORD_CLASSES * PER_CLASS + s, 0.0, -self.log_shape[s], False
+        return WORD_CLASSES * PER_CLASS + s, log_c, log_c - self.log_shape[s], True
 
     def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """For each text the rows of its words in ``self.rows``, the columns of ``code``; the table is bounded."""
         if len(self.codes) > _FLUSH:
-            self.codes, self.rows = {}, [np.empty(0, t) for t in (np.int64, np.int64, float, float, bool)]
+            self.codes, self.rows = {}, [np.empty(0, t) for t in _ROW]
         codes = self.codes
         missing = [w for w in {w for words in texts for w in words} if w not in codes]
         if missing:
@@ -160,84 +171,140 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r["token"]), r["c"]) for r in known], sums["n"], sums["v"], {r["shape"]: (r["c"], r["v"]) for r in shapes})
 
 
-def train(texts: DataFrame, vocab: Vocabulary, text: str, pick: Column, one_in: int = TRAIN_ONE_IN) -> Gru:
-    """Rounds of local training on the partitions of ``texts``, averaged by tokens."""
+_CODED = "uid bigint, doc_id bigint, held_out boolean, at bigint, n_tokens bigint, known bigint, log_c double, share double, rare array<binary>, times array<int>, codes binary"
+
+
+def coded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Every text read once more, as the symbols of the model and what is added to their scores; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _CODED.split(", ")]
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch, out = whole.slice(at, 1024), []
+                texts = [[*words_of(t.as_py()), END] for t in batch.column(4)]
+                places = vocab.look_up(texts)
+                symbols, log_c, share, known = vocab.rows
+                seen = known & (log_c > _LOG_HALF)
+                for words, own in zip(texts, places, strict=True):
+                    rare = Counter([words[i] for i in np.flatnonzero(~known[own])])
+                    out.append((len(words), int(seen[own].sum()), float(log_c[own].sum()), float(share[own].sum()), list(rare.keys()), list(rare.values()), symbols[own].tobytes()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=names)
+
+    own = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", F.xxhash64("doc_id", "text").alias("at"), "text")
+    return cut(own.mapInArrow(run, _CODED), "coded")
+
+
+_WEIGHTS = "group bigint, seen bigint, sums binary"
+
+
+def _mean(parts: DataFrame, groups: int) -> np.ndarray | None:
+    """The mean of weights by symbols seen: ``FAN`` rows a task become one, level by level, in an order that is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r["group"] // FAN, r["seen"], r["sums"]) for batch in batches for r in batch.to_pylist())
+        for group, own in groupby(rows, key=lambda r: r[0]):
+            seen, total = 0, np.zeros(1)
+            for _, n, raw in own:
+                seen, total = seen + n, total + np.frombuffer(raw, np.float64)
+            yield pa.RecordBatch.from_pylist([{"group": group, "seen": seen, "sums": total.tobytes()}], pa.schema([("group", pa.int64()), ("seen", pa.int64()), ("sums", pa.binary())]))
+
+    while True:
+        tasks = -(-groups // FAN)
+        parts = cut(parts.repartition(tasks, F.expr(f"group div {FAN}")).sortWithinPartitions("group").mapInArrow(run, _WEIGHTS), "weights")
+        groups = tasks
+        if groups == 1:
+            row = parts.first()
+            return np.frombuffer(row["sums"], np.float64) / row["seen"] if row else None
+
+
+def train(texts: DataFrame, vocab: Vocabulary) -> Gru:
+    """Rounds of local training on groups of ``(at, codes)``, averaged by symbols.
+
+    A text's round and group follow from its hash alone, and a group is read in the order
+    of hashes: the weights do not depend on how the table is cut into files.
+    """
     model = vocab.model()
+    groups = max(1, min(MAX_GROUPS, -(-vocab.total // (ROUNDS * GROUP_TOKENS))))
+    first = vocab.symbols[END]
     for k in range(ROUNDS):
         flat = model.flat()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = vocab.model()
-            own.load(flat)  # noqa: B023
-
-            def documents() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for batch in batches:
-                    for t in batch.column(0):
-                        (at,) = vocab.look_up([[*words_of(t.as_py()), END]])
-                        yield vocab.rows[0][at], vocab.rows[1][at]
-
-            seen = own.train(documents(), vocab.symbols[END])
-            if seen:
-                v = own.flat().astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v))), pa.array(v * seen), pa.array(np.full(len(v), float(seen)))], names=["i", "v", "w"])
-
-        sums = texts.where(F.pmod(pick, F.lit(one_in)) == k % one_in).select(text).mapInArrow(run, "i bigint, v double, w double")
-        mean = sums.groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).toPandas()
-        if len(mean):
-            flat = np.empty(len(flat))
-            flat[mean["i"].to_numpy()] = mean["v"].to_numpy()
-            model.load(flat)
+            rows = ((g, np.frombuffer(c.as_buffer(), np.int16)) for batch in batches for g, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+            for group, own in groupby(rows, key=lambda r: r[0]):
+                model = vocab.model()
+                model.load(flat)  # noqa: B023
+                seen = model.train(_blocks(c for _, c in own), first)
+                sums = model.flat().astype(np.float64) * seen
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["group", "seen", "sums"])
+
+        own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).select(F.pmod(F.shiftright("at", 8), F.lit(groups)).alias("group"), "at", "codes")
+        dealt = own.repartition(groups, "group").sortWithinPartitions("group", "at", "codes").select("group", "codes")
+        mean = _mean(dealt.mapInArrow(run, _WEIGHTS), groups)
+        if mean is not None:
+            model.load(mean)
     return model
 
 
-_SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_c double, model double, rare array<binary>, times array<int>"
+def _blocks(texts: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Texts in lists of ``BLOCK_TOKENS`` symbols, or one longer text."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= BLOCK_TOKENS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", train_one_in: int = TRAIN_ONE_IN) -> DataFrame:
+_SCORED = "uid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_c double, model double"
+
+
+def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"))
-    training = rows.where(~F.col("held_out"))
-    counts = token_counts(training.select("text"))
+    counts = token_counts(rows.where(~F.col("held_out")).select("text"))
     vocab = vocabulary(counts)
-    model = train(training, vocab, "text", F.xxhash64("doc_id", "text"), train_one_in)
-    flat = model.flat()
+    texts = coded(rows, vocab)
+    flat = train(texts.where(~F.col("held_out")), vocab).flat()
+    first = vocab.symbols[END]
+    make = vocab.model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocab.model()
+        own = make()
         own.load(flat)
-        first = vocab.symbols[END]
+        names = [x.split()[0] for x in _SCORED.split(", ")]
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            texts = [np.frombuffer(c.as_buffer(), np.int16) for batch in held for c in batch.column(7)]
+            ll = own.log_likelihood(texts, first) / math.log(10)
+            at = 0
+            for batch in held:
+                model = ll[at : at + batch.num_rows] + batch.column(6).to_numpy()
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(model, pa.float64())], names=names)
+            held.clear()
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                coded, out = [], []
-                texts = [[*words_of(t.as_py()), END] for t in batch.column(3)]
-                places = vocab.look_up(texts)
-                symbols, kinds, log_c, share, known = vocab.rows
-                seen = known & (log_c > _LOG_HALF)
-                for words, at_ in zip(texts, places, strict=True):
-                    rare = Counter([words[i] for i in np.flatnonzero(~known[at_])])
-                    coded.append((symbols[at_], kinds[at_]))
-                    out.append((len(words), int(seen[at_].sum()), float(log_c[at_].sum()), float(share[at_].sum()), list(rare.keys()), list(rare.values())))
-                ll = own.log_likelihood(coded, first) / math.log(10)
-                model_part = [float(a) + r[3] for a, r in zip(ll, out, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns[:3],
-                        pa.array([r[0] for r in out], pa.int64()),
-                        pa.array([r[1] for r in out], pa.int64()),
-                        pa.array([r[2] for r in out], pa.float64()),
-                        pa.array(model_part, pa.float64()),
-                        pa.array([r[4] for r in out], pa.list_(pa.binary())),
-                        pa.array([r[5] for r in out], pa.list_(pa.int32())),
-                    ],
-                    names=[x.split()[0] for x in _SCORED.split(", ")],
-                )
-
-    scored = cut(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(run, _SCORED), "scored")
-    tokens = scored.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
+            for at in range(0, whole.num_rows, 512):
+                held.append(whole.slice(at, 512))
+                size += sum(held[-1].column(3).to_pylist())
+                if size >= SCORED_TOKENS:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    scored = texts.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_c", "share", "codes").mapInArrow(run, _SCORED)
+    tokens = texts.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     joined = tokens.join(counts, "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     rare = joined.groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_log_c"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
-    total = scored.drop("rare", "times").join(rare, "uid", "left").fillna(0, ["rare_log_c", "rare_known"])
+    total = scored.join(rare, "uid", "left").fillna(0, ["rare_log_c", "rare_known"])
     return total.select(
         "doc_id",
         "held_out",

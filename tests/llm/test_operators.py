@@ -253,7 +253,7 @@ def test_language_model(spark, odd, empty):
     n, v = sum(c.values()), len(c)
     total = Counter()
     texts = dict(rows)
-    for r in lmscore.scores(frame(spark, rows), held, train_one_in=1).collect():
+    for r in lmscore.scores(frame(spark, rows), held).collect():
         own = [*texts[r["doc_id"]].split(), "\n"]
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
@@ -263,29 +263,71 @@ def test_language_model(spark, odd, empty):
     assert lmscore.scores(odd, held).count() == odd.count() and lmscore.scores(empty, held).count() == 0
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    rng = random.Random(19)
+    tongue = [words(rng, 1) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(tongue) for _ in range(rng.randrange(0, 60)))) for i in range(300)]
+    df, held = frame(spark, rows), F.col("doc_id") % 5 == 1
+    one, four = ({r["doc_id"]: r["score"] for r in lmscore.scores(d, held).collect()} for d in (df.coalesce(1), df.repartition(4, "text")))
+    assert one == pytest.approx(four, rel=1e-5)
+
+
 def test_every_training_text_reaches_the_weights(spark):
-    texts = frame(spark, [(1, "one two three two one " * 20)]).select("text")
-    vocab = lmscore.vocabulary(lmscore.token_counts(texts))
+    texts = frame(spark, [(1, "one two three two one " * 20)]).select("doc_id", "text")
+    vocab = lmscore.vocabulary(lmscore.token_counts(texts.select("text")))
     untrained = vocab.model().flat()
-    for pick in (0, 1, 2, 7, 13, -1):
-        assert (lmscore.train(texts, vocab, "text", F.lit(pick)).flat() != untrained).any(), pick
+    coded = lmscore.coded(texts.withColumn("held_out", F.lit(False)), vocab)
+    for at in (0, 1, 2, 7, 256, 513, -1):
+        assert (lmscore.train(coded.withColumn("at", F.lit(at).cast("long")), vocab).flat() != untrained).any(), at
+
+
+def test_weights_of_many_groups_are_averaged_by_symbols(spark):
+    import numpy as np
+
+    rows = [(g, g % 7 + 1, ((g % 7 + 1) * np.arange(3.0) * g).tobytes()) for g in range(100)]
+    parts = spark.createDataFrame(rows, "group bigint, seen bigint, sums binary").repartition(5)
+    weights = np.array([g % 7 + 1 for g in range(100)])
+    assert lmscore._mean(parts, 100) == pytest.approx(np.average([np.arange(3.0) * g for g in range(100)], axis=0, weights=weights))
+    assert lmscore._mean(parts.limit(0), 1) is None
 
 
 def test_gru_gradients():
     import numpy as np
 
-    from quern.llm.gru import Gru
+    from quern.llm.gru import Gru, Lanes
 
     rng = np.random.default_rng(3)
-    g = Gru(8, 10, 6, 4, np.ones(6), np.ones(8))
-    docs = [(np.array(rng.integers(0, 8, n)), None) for n in (1, 5, 40, 17)]
-    docs = [(s, s // 4) for s, _ in docs]
-    whole = g.log_likelihood(docs, 0)
-    assert whole == pytest.approx([g.log_likelihood([d], 0)[0] for d in docs], rel=1e-4)
-    steady = [(np.tile([1, 5], 400), np.tile([0, 1], 400)) for _ in range(64)]
+    g = Gru(8, 11, 4, np.arange(1.0, 12.0), hidden=5, dtype=np.float64)
+    g.own += rng.normal(0, 0.3, g.own.shape)
+    texts = [rng.integers(0, 11, n).astype(np.int16) for n in (7, 3, 9, 1, 12)]
+    window = Lanes(texts, 3, [2] * 5).window(0, 16)[:4]
+    found, rest = np.zeros_like(g.own), np.zeros_like(g.own)
+
+    def loss(into):
+        return -g.window(g.views(g.own), *window, np.zeros((5, 3)), g.views(into))[0]
+
+    assert loss(found) == pytest.approx(-g.log_likelihood(texts, 2).sum(), rel=1e-6)
+    for i in rng.choice(len(g.own), 200, replace=False):
+        kept, ends = g.own[i], []
+        for e in (1e-6, -1e-6):
+            g.own[i] = kept + e
+            ends.append(loss(rest))
+        g.own[i] = kept
+        assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(found[i], abs=1e-6), i
+
+
+def test_gru_carries_its_state_and_learns():
+    import numpy as np
+
+    from quern.llm.gru import Gru
+
+    rng = np.random.default_rng(5)
+    g = Gru(8, 10, 4, np.ones(10))
+    docs = [rng.integers(0, 10, n).astype(np.int16) for n in (1, 5, 700, 17)]
+    assert g.log_likelihood(docs, 0) == pytest.approx([g.log_likelihood([d], 0)[0] for d in docs], rel=1e-4)
+    steady = [np.tile([1, 5], 400).astype(np.int16) for _ in range(64)]
     before = g.log_likelihood(steady[:1], 0)[0]
-    for _ in range(6):
-        g.train(iter(steady), 0)
+    assert g.train(iter([steady] * 6), 0) == 6 * 64 * 800
     assert g.log_likelihood(steady[:1], 0)[0] > before / 3
 
 
