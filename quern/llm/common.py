@@ -5,7 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +38,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose ``column`` of strings or bytes has about ``limit`` bytes each, or one longer value."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+    start = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -90,6 +90,9 @@ class Gru:
         p["wc"][h] = np.log(kinds / kinds.sum())
         p["ww"][:, h] = np.log(counts[:words] + 0.5).reshape(self.groups, per_class)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"rooms": {}}
+
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         out, at = {}, 0
         for name, shape in self.shapes.items():

@@ -28,12 +28,13 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .gru import Gru
-from .shingles import words_of
+from .shingles import split_words
 
 END = b"\n"  # no word holds white space
 WORD_CLASSES, PER_CLASS = 32, 32
@@ -42,43 +43,41 @@ ROUNDS = 2
 #: Tokens of the group that trains one copy of the model; beyond ``MAX_GROUPS`` groups a round, groups grow.
 GROUP_TOKENS, MAX_GROUPS = 600_000, 1 << 14
 #: Rows of weights that one task adds up.
-FAN = 32
+FAN = 8
 #: Tokens that a task holds at a time, or one longer text.
 BLOCK_TOKENS, SCORED_TOKENS = 1_000_000, 2_000_000
-_FLUSH = 200_000
-
-_PUNCTUATION = frozenset(b".,;:!?")
+#: Bytes of text that a task splits at a time, or one longer text.
+SLICE_BYTES = 16 << 20
 SHAPES = 24
-
-#: Symbol, logarithm of the count, logarithm of the share in the class, whether the count is known.
-_ROW = (np.int16, float, float, bool)
-
-
-def shape(word: bytes) -> int:
-    """A class by what a word looks like: its first letter beyond ASCII, or its length and ending."""
-    if not word.isascii():
-        first = next(i for i, b in enumerate(word) if b >= 0x80)
-        return 11 + (word[first] * 31 + (word[first + 1] if first + 1 < len(word) else 0)) % 13
-    if any(48 <= b <= 57 for b in word):
-        return 10
-    return min(4, max(0, len(word) - 3) // 2) * 2 + (word[-1] in _PUNCTUATION)
+_IS_DIGIT, _IS_HIGH, _ENDS = (np.isin(np.arange(256), list(x)) for x in (b"0123456789", range(128, 256), b".,;:!?"))
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """For each word, none empty, a class by what it looks like: its first letter beyond ASCII, or its length and ending."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]]
+    starts, ends, sizes = at[:-1] - at[0], at[1:] - at[0], np.diff(at)
+    out = np.minimum(4, np.maximum(0, sizes - 3) // 2) * 2 + _ENDS[data[ends - 1]]
+    out[np.add.reduceat(_IS_DIGIT[data].astype(np.int32), starts) > 0] = 10
+    high = np.flatnonzero(_IS_HIGH[data])
+    first = np.searchsorted(high, starts)
+    beyond = np.flatnonzero(first < np.searchsorted(high, ends))
+    place = high[first[beyond]]
+    follows = np.where(place + 1 < ends[beyond], data[np.minimum(place + 1, len(data) - 1)], 0)
+    out[beyond] = 11 + (data[place].astype(np.int64) * 31 + follows) % 13
+    return out.astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        out = [pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(out, names=["token", "c"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            if len(counts) > _FLUSH:
-                yield flush()
-        counts[END] += batch.num_rows
-    yield flush()
+    for whole in batches:
+        for batch in slices(whole, 0, SLICE_BYTES):
+            words, _ = split_words(batch.column(0))
+            counts = words.value_counts()
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([counts.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([counts.field(1), pa.array([batch.num_rows], pa.int64())])], names=["token", "c"]
+            )
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -92,55 +91,42 @@ class Vocabulary:
     def __init__(self, known: list[tuple[bytes, int]], total: int, distinct: int, shapes: dict[int, tuple[int, int]]) -> None:
         self.total, self.distinct = total, distinct
         ordered = sorted(known, key=lambda x: (-x[1], x[0]))
-        self.counts = dict(ordered)
-        words = WORD_CLASSES * PER_CLASS
-        top = [w for w, _ in ordered[:words]]
-        if END not in top:
-            top[-1:] = [END]
-        self.symbols = {w: i for i, w in enumerate(top)}
+        if END not in dict(ordered[: WORD_CLASSES * PER_CLASS]):
+            ordered = [x for x in ordered if x[0] != END]
+            ordered.insert(WORD_CLASSES * PER_CLASS - 1, (END, dict(known).get(END, 0)))
+        known = [w for w, _ in ordered]
+        self.end = known.index(END)
+        counts = np.array([c for _, c in ordered], float)
+        words, top = WORD_CLASSES * PER_CLASS, known[: WORD_CLASSES * PER_CLASS]
         self.word_counts = np.zeros(words)
-        self.word_counts[: len(top)] = [self.counts.get(w, 0) for w in top]
+        self.word_counts[: len(top)] = counts[:words]
         # Words of the model are no members of their shape's class.
         self.shape_counts = np.array([shapes.get(s, (0, 0)) for s in range(SHAPES)], np.float64)
-        for w in top:
-            if w in self.counts and w != END:
-                self.shape_counts[shape(w)] -= (self.counts[w], 1)
-        self.codes: dict[bytes, int] = {}
-        self.rows = [np.empty(0, t) for t in _ROW]
+        own = [(w, c) for w, c in ordered[:words] if c and w != END]
+        np.subtract.at(self.shape_counts, shapes_of(pa.array([w for w, _ in own], pa.binary())), np.array([(c, 1) for _, c in own], float).reshape(-1, 2))
         self.log_base = math.log10(total + 0.5 * (distinct + 1))
-        self.log_shape = [math.log10(max(c, 0.0) + 0.5 * (max(v, 0.0) + 1)) for c, v in self.shape_counts]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"codes": {}, "rows": [x[:0] for x in self.rows]}
+        # Rows: known words, then the shapes of unknown ones, whose own counts are added later.
+        kinds = np.concatenate([np.zeros(len(top), np.int64), shapes_of(pa.array(known[words:], pa.binary())), np.arange(SHAPES)])
+        inside = np.arange(len(kinds)) < len(top)
+        log_shape = np.log10(np.maximum(self.shape_counts[:, 0], 0) + 0.5 * (np.maximum(self.shape_counts[:, 1], 0) + 1))[kinds]
+        self.symbols = np.where(inside, np.arange(len(kinds)), words + kinds).astype(np.int16)
+        self.log_c = np.concatenate([np.log10(counts + 0.5), np.zeros(SHAPES)])
+        self.share = np.where(inside, 0.0, self.log_c - log_shape)
+        self.seen = np.concatenate([counts > 0, np.zeros(SHAPES, bool)])
+        self.known = pa.array(known, pa.binary())
+
+    def rows(self, words: pa.Array) -> np.ndarray:
+        """The row of every known word; any other word has the row of its shape, which follow."""
+        place = pc.index_in(words, value_set=self.known)
+        unknown = pc.is_null(place)
+        out = place.fill_null(0).to_numpy().copy()
+        out[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + shapes_of(words.filter(unknown))
+        return out
 
     def model(self) -> Gru:
         words = WORD_CLASSES * PER_CLASS
         return Gru(words, words + SHAPES, PER_CLASS, np.concatenate([self.word_counts, np.maximum(self.shape_counts[:, 0], 0)]))
 
-    def code(self, word: bytes) -> tuple[int, float, float, bool]:
-        """Symbol, the logarithms of the word's count and of its share in its class, and whether its count is known."""
-        c = self.counts.get(word)
-        own = self.symbols.get(word)
-        log_c = math.log10((c or 0) + 0.5)
-        if own is not None:
-            return own, log_c, 0.0, True
-        s = shape(word)
-        if c is None:
-            return WORD_CLASSES * PER_CLASS + s, 0.0, -self.log_shape[s], False
-        return WORD_CLASSES * PER_CLASS + s, log_c, log_c - self.log_shape[s], True
-
-    def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """For each text the rows of its words in ``self.rows``, the columns of ``code``; the table is bounded."""
-        if len(self.codes) > _FLUSH:
-            self.codes, self.rows = {}, [np.empty(0, t) for t in _ROW]
-        codes = self.codes
-        missing = [w for w in {w for words in texts for w in words} if w not in codes]
-        if missing:
-            new = zip(*map(self.code, missing), strict=True)
-            self.rows = [np.concatenate([old, np.array(x, old.dtype)]) for old, x in zip(self.rows, new, strict=True)]
-            codes.update(zip(missing, range(len(codes), len(codes) + len(missing)), strict=True))
-        return [np.fromiter(map(codes.__getitem__, words), np.int64, len(words)) for words in texts]
-
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The bounded part of the counts: totals, totals by shape, and the most frequent words."""
@@ -148,12 +134,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     def by_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((SHAPES, 2), np.int64)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            kinds = np.array([SHAPES if w == END else shape(w) for w in words], np.int64)
-            c = batch.column(1).to_numpy()
-            inside = kinds < SHAPES
-            np.add.at(sums[:, 0], kinds[inside], c[inside])
-            np.add.at(sums[:, 1], kinds[inside], 1)
+            own = batch.filter(pc.not_equal(batch.column(0), END))
+            kinds = shapes_of(own.column(0))
+            sums[:, 0] += np.bincount(kinds, own.column(1).to_numpy(), SHAPES).astype(np.int64)
+            sums[:, 1] += np.bincount(kinds, minlength=SHAPES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["shape", "c", "v"])
 
     shapes = counts.mapInArrow(by_shape, "shape bigint, c bigint, v bigint").groupBy("shape").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
@@ -179,18 +163,26 @@ def coded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _CODED.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch, out = whole.slice(at, 1024), []
-                texts = [[*words_of(t.as_py()), END] for t in batch.column(4)]
-                places = vocab.look_up(texts)
-                symbols, log_c, share, known = vocab.rows
-                seen = known & (log_c > _LOG_HALF)
-                for words, own in zip(texts, places, strict=True):
-                    rare = Counter([words[i] for i in np.flatnonzero(~known[own])])
-                    out.append((len(words), int(seen[own].sum()), float(log_c[own].sum()), float(share[own].sum()), list(rare.keys()), list(rare.values()), symbols[own].tobytes()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=names)
+            for batch in slices(whole, 4, SLICE_BYTES):
+                words, sizes = split_words(batch.column(4))
+                ends = np.cumsum(sizes + 1)
+                starts = ends - sizes - 1
+                place = np.full(int(ends[-1]), vocab.end, np.int32)
+                inside = np.ones(len(place), bool)
+                inside[ends - 1] = False  # where a text's end stands
+                place[inside] = vocab.rows(words)
+                symbols = vocab.symbols[place]
+                # Words whose counts are not here, once a text.
+                unknown = np.flatnonzero(place >= len(vocab.known))
+                row = np.searchsorted(ends, unknown, side="right")
+                rare = words.take(pa.array(unknown - row)).to_pylist()
+                bounds = np.searchsorted(row, np.arange(len(ends) + 1)).tolist()
+                own = [Counter(rare[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+                sums = [np.add.reduceat(x[place], starts) for x in (vocab.seen.astype(np.int64), vocab.log_c, vocab.share)]
+                lists = [pa.array([list(c.keys()) for c in own], pa.list_(pa.binary())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))]
+                codes = pa.array([symbols[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes + 1), *map(pa.array, sums), *lists, codes], names=names)
 
     own = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", F.xxhash64("doc_id", "text").alias("at"), "text")
     return cut(own.mapInArrow(run, _CODED), "coded")
@@ -227,15 +219,14 @@ def train(texts: DataFrame, vocab: Vocabulary) -> Gru:
     """
     model = vocab.model()
     groups = max(1, min(MAX_GROUPS, -(-vocab.total // (ROUNDS * GROUP_TOKENS))))
-    first = vocab.symbols[END]
+    first = vocab.end
     for k in range(ROUNDS):
-        flat = model.flat()
+        start = model.flat()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = ((g, np.frombuffer(c.as_buffer(), np.int16)) for batch in batches for g, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
             for group, own in groupby(rows, key=lambda r: r[0]):
-                model = vocab.model()
-                model.load(flat)  # noqa: B023
+                model.load(start)  # noqa: B023
                 seen = model.train(_blocks(c for _, c in own), first)
                 sums = model.flat().astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["group", "seen", "sums"])
@@ -270,13 +261,9 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
     counts = token_counts(rows.where(~F.col("held_out")).select("text"))
     vocab = vocabulary(counts)
     texts = coded(rows, vocab)
-    flat = train(texts.where(~F.col("held_out")), vocab).flat()
-    first = vocab.symbols[END]
-    make = vocab.model
+    own, first = train(texts.where(~F.col("held_out")), vocab), vocab.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = make()
-        own.load(flat)
         names = [x.split()[0] for x in _SCORED.split(", ")]
         held: list[pa.RecordBatch] = []
         size = 0
@@ -315,5 +302,3 @@ def scores(df: DataFrame, held_out: Column, key: str = "doc_id", text: str = "te
         (F.col("model") + F.col("rare_log_c")).alias("score"),
     )
 
-
-_LOG_HALF = math.log10(0.5) + 1e-9

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 WORDS = 5
@@ -36,6 +38,14 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` every text, one after the other as binary values, and each text's number of them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, row = lists.flatten(), pc.list_parent_indices(lists)
+    whole = pc.not_equal(pc.binary_length(words), 0)  # blank ends give empty ones
+    return words.filter(whole).cast(pa.binary()), np.bincount(row.filter(whole).to_numpy(), minlength=len(texts))
+
+
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     """Sorted distinct shingles; with fewer words than ``width``, the whole sequence as one; without words, none."""
     words = words_of(text)

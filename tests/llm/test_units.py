@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quern.llm import bpe, chat, linededup, media, neardup, shingles, toxicity, warc
+from quern.llm import bpe, chat, common, linededup, lmscore, media, neardup, shingles, toxicity, warc
 from quern.llm.queries import CONTROL_TEXT, word_bpe_path
 
 
@@ -111,6 +111,25 @@ def test_shingles_and_pigeonhole():
     assert not set(x[0].tolist()) & set(x[1].tolist())
 
 
+def test_words_and_shapes_of_whole_columns():
+    import pyarrow as pa
+
+    texts = [None, "", " a\x0bB  c\x1c\x85 ", "\u3000x\xa0y É", "Don't 7up, stop. ABCDEFGHIJKLMNOP né ń"]
+    words, sizes = shingles.split_words(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in shingles.words_of(t)] and sizes.tolist() == [len(shingles.words_of(t)) for t in texts]
+
+    def slow(w):
+        if not w.isascii():
+            i = next(i for i, b in enumerate(w) if b > 127)
+            return 11 + (w[i] * 31 + (w[i + 1] if i + 1 < len(w) else 0)) % 13
+        return 10 if any(48 <= b < 58 for b in w) else min(4, max(0, len(w) - 3) // 2) * 2 + (w[-1] in b".,;:!?")
+
+    assert lmscore.shapes_of(words).tolist() == [slow(w) for w in words.to_pylist()]
+    assert lmscore.shapes_of(words.slice(3, 2)).tolist() == lmscore.shapes_of(words).tolist()[3:5] and not len(lmscore.shapes_of(words.slice(0, 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (5, 1, 1, 9, 0, 3)])], names=["t"])
+    assert [p.num_rows for p in common.slices(batch, 0, 4)] == [1, 2, 1, 2]
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
