@@ -14,12 +14,14 @@ text is a copy, which document-level deduplication takes out.
 
 A skeleton of each text (hashes, ends and word counts of its lines) is written once; all
 searching is done on skeletons. Texts are shuffled twice: to compare the bytes of what is
-to go with those of what stays, white space between lines aside, and to take it out. A
-hash whose occurrences differ in bytes removes nothing.
+to go with those of what stays, and to take it out; lines are compared as they were hashed,
+without the white space around them. A hash whose occurrences differ in bytes removes
+nothing.
 
 Cases: null, empty and blank texts have no lines and stay; rows equal in id and text are
 one text; a text of any length is cut whole; a text all of whose lines go becomes empty;
-an empty table gives an empty result; other columns are kept as they are.
+rows without an id are told apart by their texts, and from all that have one; an empty
+table gives an empty result; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop, row_key
 from .neardup import DENOMINATOR, NUMERATOR
 from .shingles import mix, shingle_set
 
@@ -134,13 +136,13 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, h, start, stop) lists to a row for each spot, with its text as lines between single spaces."""
+    """(text, h, start, stop) lists to a row for each spot, with its line as it was hashed."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             h, body = [], []
             for text, hs, starts, stops in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
                 h += hs
-                body += [" ".join(text[a:b].split()) for a, b in zip(starts, stops, strict=True)]
+                body += [text[a:b].strip() for a, b in zip(starts, stops, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["h", "body"])
 
 
@@ -232,44 +234,51 @@ def _decided(gone: DataFrame) -> DataFrame:
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", spare_copies: bool = False) -> DataFrame:
     """``(id, th, removed array<struct<start,end>>, removed_words)`` of every text that loses lines."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).cast("long").alias("id"), row_key(key, text)[1].alias("th"), F.col(text).alias("text"))
     skeletons = cut(rows.mapInArrow(_skeletons, "id bigint, th bigint, hashes binary, ends binary, words binary"), "skeletons")
     lines = skeletons.select("id", "th", "hashes").mapInArrow(_line_rows, "id bigint, th bigint, line int, h bigint")
     repeated = cut(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
     at = F.coalesce("id", F.lit(-1))
-    own = lines.join(repeated, "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("line").alias("own"))
-    held = skeletons.withColumn("at", at).join(own, ["at", "th"]).select("id", "th", "hashes", "ends", "words", "own")
+    own = lines.join(repeated.hint("shuffle_hash"), "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("line").alias("own"))
+    held = skeletons.withColumn("at", at).join(own.hint("shuffle_hash"), ["at", "th"]).select("id", "th", "hashes", "ends", "words", "own")
     found = cut(held.mapInArrow(_occurrences, _OCCURRENCE).distinct(), "occurrences")
+    drop(skeletons, repeated)
     place = F.struct("id", "th", "line")
     keepers = cut(found.groupBy("h").agg(F.min(F.struct("id", "th", "line", "start", "stop")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper"), "keepers")
-    gone = cut(found.join(keepers, "h").where(~place.eqNullSafe(F.struct("keeper.id", "keeper.th", "keeper.line"))), "to-go")
+    gone = cut(found.join(keepers.hint("shuffle_hash"), "h").where(~place.eqNullSafe(F.struct("keeper.id", "keeper.th", "keeper.line"))), "to-go")
+    drop(found)
     if spare_copies:
-        gone = cut(_without_copies(gone, rows), "to-go-no-copies")
+        every, gone = gone, cut(_without_copies(gone, rows), "to-go-no-copies")
+        drop(every)
     removed = cut(_decided(gone), "removed")
 
     # The bytes of all that goes beside those of what stays: equal hashes must mean equal bytes.
     used = removed.select("id", "th", F.explode("used").alias("u")).select("id", "th", "u.*")
-    kept = keepers.join(used.select("h").distinct(), "h", "left_semi").select("keeper.id", "keeper.th", "h", "keeper.start", "keeper.stop")
+    kept = keepers.join(used.select("h").distinct().hint("shuffle_hash"), "h", "left_semi").select("keeper.id", "keeper.th", "h", "keeper.start", "keeper.stop")
     spots = cut(used.unionByName(kept).groupBy(at.alias("at"), "th").agg(F.collect_set(F.struct("h", "start", "stop")).alias("spots")), "spots")
-    bodies = rows.withColumn("at", at).join(spots, ["at", "th"]).select("text", "spots.h", "spots.start", "spots.stop").mapInArrow(_bodies, "h bigint, body string")
-    differ = cut(bodies.groupBy("h").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("h"), "differ")
+    bodies = rows.withColumn("at", at).join(spots.hint("shuffle_hash"), ["at", "th"]).select("text", "spots.h", "spots.start", "spots.stop").mapInArrow(_bodies, "h bigint, body string")
+    differ = cut(bodies.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "differ")
+    drop(spots, keepers)
     if not differ.isEmpty():
-        removed = cut(_decided(gone.join(differ, "h", "left_anti")), "removed")
+        unequal, removed = removed, cut(_decided(gone.join(differ, "h", "left_anti")), "removed")
+        drop(unequal)
+    drop(gone, differ)
     return removed.drop("used")
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", spare_copies: bool = False) -> DataFrame:
-    """``df`` with repeated passages taken out of ``text``, and columns ``removed`` and ``removed_words``."""
-    gone = repeated_passages(df, key, text, spare_copies).select(F.coalesce("id", F.lit(-1)).alias("_at"), F.col("th").alias("_th"), F.col("removed").alias("_removed"), F.col("removed_words").alias("_words"))
-    rows = df.withColumns({"_at": F.coalesce(F.col(key).cast("long"), F.lit(-1)), "_th": F.xxhash64(F.col(text))})
-    both = rows.join(gone, ["_at", "_th"], "left")
-    body = f"`{text}`"
+    """``df`` with repeated passages taken out of ``text``, and columns ``removed`` and ``removed_words``; columns of those names are replaced."""
+    gone = repeated_passages(df, key, text, spare_copies).select(F.coalesce("id", F.lit(-1)).alias("at"), "th", F.struct("removed", "removed_words").alias("found"))
+    at, th = row_key(key, text)
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), at.alias("at"), th.alias("th"))
+    both = rows.join(gone.hint("shuffle_hash"), ["at", "th"], "left")
+    body = f"row.`{text}`"
     # The pieces between the spans that go; positions count code points.
     kept = F.expr(
-        f"""concat_ws('', transform(sequence(0, size(_removed)), i -> substring({body},
-            if(i = 0, 0, _removed[greatest(i - 1, 0)].end) + 1,
-            if(i = size(_removed), length({body}), _removed[least(i, size(_removed) - 1)].start) - if(i = 0, 0, _removed[greatest(i - 1, 0)].end))))"""
+        f"""concat_ws('', transform(sequence(0, size(found.removed)), i -> substring({body},
+            if(i = 0, 0, found.removed[greatest(i - 1, 0)].end) + 1,
+            if(i = size(found.removed), length({body}), found.removed[least(i, size(found.removed) - 1)].start) - if(i = 0, 0, found.removed[greatest(i - 1, 0)].end))))"""
     )
-    out = [F.when(F.col("_removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in df.columns]
+    out = [F.when(F.col("found").isNull(), F.col(body)).otherwise(kept).alias(c) if c == text else F.col(f"row.`{c}`") for c in df.columns if c not in ("removed", "removed_words")]
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    return both.select(*out, F.coalesce("_removed", none).alias("removed"), F.coalesce("_words", F.lit(0)).cast("long").alias("removed_words"))
+    return both.select(*out, F.coalesce("found.removed", none).alias("removed"), F.coalesce("found.removed_words", F.lit(0)).cast("long").alias("removed_words"))
