@@ -113,14 +113,14 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(index), pa.array(h)], names=["id", "th", "line", "h"])
 
 
-_OCCURRENCE = "h bigint, id bigint, th bigint, line int, lines int, start int, stop int, words int, total int"
+_OCCURRENCE = "h bigint, id bigint, th bigint, line int, start int, stop int, words int, total int"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated lines, without the runs of them that do not reach ``MIN_WORDS``."""
     names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
     for batch in batches:
-        rows: list[np.ndarray] = [np.empty((7, 0), np.int64)]
+        rows: list[np.ndarray] = [np.empty((6, 0), np.int64)]
         sizes = []
         for raw, raw_ends, raw_words, own in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
             line = np.sort(np.array(own, np.int64))
@@ -129,7 +129,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             run = np.cumsum(np.diff(line, prepend=line[0]) > 1)
             line = line[(np.bincount(run, words[line]) >= MIN_WORDS)[run]]
             sizes.append(len(line))
-            rows.append(np.stack([np.frombuffer(raw, np.int64)[line], line, np.ones_like(line), ends[line], ends[line + 1], words[line], np.full_like(line, words.sum())]))
+            rows.append(np.stack([np.frombuffer(raw, np.int64)[line], line, ends[line], ends[line + 1], words[line], np.full_like(line, words.sum())]))
         h, *rest = np.concatenate(rows, axis=1)
         at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
         yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in rest)], names=names)
@@ -160,8 +160,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without_copies(gone: DataFrame, rows: DataFrame) -> DataFrame:
     """``gone`` without what near-duplicates share with the one text that holds most of their words."""
     at = F.coalesce("id", F.lit(-1)).alias("at")
-    kat = F.coalesce("keeper.id", F.lit(-1)).alias("kat")
-    keyed = gone.select("*", at, kat, F.col("keeper.th").alias("kth"))
+    keyed = gone.select("*", at, F.coalesce("kid", F.lit(-1)).alias("kat"))
     shares = keyed.where("at <> kat or th <> kth").groupBy("at", "th", "kat", "kth").agg(F.sum("words").alias("n"), F.max("total").alias("total"))
     texts = rows.select(at, "th", "text").dropDuplicates(["at", "th"])
     pairs = shares.where(F.col("n") >= COPY_SHARE * F.col("total")).select("at", "th", "kat", "kth").join(texts, ["at", "th"])
@@ -170,66 +169,69 @@ def _without_copies(gone: DataFrame, rows: DataFrame) -> DataFrame:
     return keyed.join(copies, ["at", "th", "kat", "kth"], "left_anti").select(gone.columns)
 
 
-def _decide(found: list[tuple]) -> tuple[list[tuple[int, int]], int, list[tuple]]:
-    """Of one text's entries ``(line, lines, start, stop, words, total, keeper, h)``: spans that go, their words, the entries used."""
-    spans, gone, used, run, entries = [], 0, [], None, []
-
-    def close() -> None:
-        nonlocal gone
-        if run and run[3] >= MIN_WORDS:
-            spans.append((run[1], run[2]))
-            gone += int(run[3])
-            used.extend(entries)
-
-    # run: its last line's end, start and stop in the text, words. Entries that overlap add the share that is new.
-    for x in sorted(found, key=lambda x: (x[0], -x[1])):
-        line, lines, start, stop, words = x[:5]
-        if run is None or line > run[0]:
-            close()
-            run, entries = [line + lines, start, stop, words], [x]
-        elif line + lines > run[0]:
-            run = [line + lines, run[1], stop, run[3] + words * (line + lines - run[0]) / lines]
-            entries.append(x)
-    close()
-    return spans, gone, used
+_REMOVED = "id bigint, th bigint, removed array<struct<start:int,end:int>>, removed_words bigint, used array<struct<h:bigint,start:int,stop:int>>"
 
 
-_REMOVED = "id bigint, th bigint, removed array<struct<start:int,end:int>>, removed_words bigint, used array<struct<h:bigint,start:int,stop:int>>"
+def _decide(columns: list[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
+    """Of whole texts' lines ``(th, line, start, stop, words, h)`` in order: the runs of enough words, as spans of each text."""
+    th, line, start, stop, words, h = columns
+    own = ids.fill_null(0).to_numpy()
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    text = np.ones(len(th), bool)
+    text[1:] = (own[1:] != own[:-1]) | (th[1:] != th[:-1]) | (null[1:] != null[:-1])
+    first = text.copy()
+    first[1:] |= np.diff(line) != 1
+    heads = np.flatnonzero(first)
+    sums = np.add.reduceat(words.astype(np.int64), heads)
+    lengths = np.diff(heads, append=len(th))
+    good = sums >= MIN_WORDS
+    kept = np.repeat(good, lengths)
+    heads, sums, tails = heads[good], sums[good], (heads + lengths - 1)[good]
+    of_run, of_line = np.cumsum(text)[heads], np.cumsum(text)[kept]
+    names, at = np.unique(of_run, return_index=True)
+    texts = heads[at]
+
+    def nested(parts: list[tuple[str, np.ndarray]], owner: np.ndarray) -> pa.Array:
+        offsets = np.append(np.searchsorted(owner, names), len(owner)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x) for _, x in parts], [n for n, _ in parts]))
+
+    removed = nested([("start", start[heads]), ("end", stop[tails])], of_run)
+    used = nested([("h", h[kept]), ("start", start[kept]), ("stop", stop[kept])], of_line)
+    total = np.add.reduceat(sums, at) if len(at) else sums
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(texts)), pa.array(th[texts]), removed, pa.array(total), used], names=["id", "th", "removed", "removed_words", "used"])
 
 
 def _decided(gone: DataFrame) -> DataFrame:
-    """Entries stream by, sorted by text; only one text's are held."""
+    """Lines stream by, sorted by text and place; a text's lines are held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        uses = pa.list_(pa.struct([("h", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
-        types, names = (pa.int64(), pa.int64(), spans, pa.int64(), uses), ["id", "th", "removed", "removed_words", "used"]
-        at, held, out = None, [], []
-
-        def close() -> None:
-            if held:
-                cuts, words, used = _decide(held)
-                if cuts:
-                    out.append((*at, [{"start": a, "end": b} for a, b in cuts], words, [{"h": x[7], "start": x[2], "stop": x[3]} for x in used]))
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
-            out.clear()
-            return batch
+        held: list[pa.RecordBatch] = []
 
-        for batch in batches:
-            for id_, th, line, lines, start, stop, words, total, kid, kth, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (id_, th):
-                    close()
-                    at, held = (id_, th), []
-                held.append((line, lines, start, stop, words, total, (kid, kth), h))
-            if out:
-                yield flush()
-        close()
-        yield flush()
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if rows.num_rows:
+                yield _decide([rows.column(i).to_numpy() for i in range(1, 7)], rows.column(0).chunk(0))
 
-    ordered = gone.repartition("id", "th").sortWithinPartitions("id", "th")
-    return ordered.select("id", "th", "line", "lines", "start", "stop", "words", "total", "keeper.id", "keeper.th", "h").toDF(*"id th line lines start stop words total kid kth h".split()).mapInArrow(run, _REMOVED)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_, th = batch.column(0), batch.column(1).to_numpy()
+            same = (th == th[-1]) & np.array([x == id_[-1].as_py() for x in id_.to_pylist()])
+            last = len(th) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if last:
+                held.append(batch.slice(0, last))
+                yield from close()
+                held = [batch.slice(last)]
+            elif held and (held[-1].column(0)[-1], held[-1].column(1)[-1]) != (id_[-1], batch.column(1)[-1]):
+                yield from close()
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield from close()
+
+    ordered = gone.repartition("id", "th").sortWithinPartitions("id", "th", "line")
+    return ordered.select("id", "th", "line", "start", "stop", "words", "h").mapInArrow(run, _REMOVED)
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", spare_copies: bool = False) -> DataFrame:
@@ -241,11 +243,14 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", sp
     at = F.coalesce("id", F.lit(-1))
     own = lines.join(repeated.hint("shuffle_hash"), "h", "left_semi").groupBy(at.alias("at"), "th").agg(F.collect_set("line").alias("own"))
     held = skeletons.withColumn("at", at).join(own.hint("shuffle_hash"), ["at", "th"]).select("id", "th", "hashes", "ends", "words", "own")
-    found = cut(held.mapInArrow(_occurrences, _OCCURRENCE).distinct(), "occurrences")
+    found = held.mapInArrow(_occurrences, _OCCURRENCE)
+    if not skeletons.groupBy(at, "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = found.distinct()  # rows that repeat are one text
+    found = cut(found, "occurrences")
     drop(skeletons, repeated)
-    place = F.struct("id", "th", "line")
     keepers = cut(found.groupBy("h").agg(F.min(F.struct("id", "th", "line", "start", "stop")).alias("keeper"), F.count("*").alias("n")).where("n > 1").select("h", "keeper"), "keepers")
-    gone = cut(found.join(keepers.hint("shuffle_hash"), "h").where(~place.eqNullSafe(F.struct("keeper.id", "keeper.th", "keeper.line"))), "to-go")
+    stays = F.col("id").eqNullSafe(F.col("keeper.id")) & (F.col("th") == F.col("keeper.th")) & (F.col("line") == F.col("keeper.line"))
+    gone = cut(found.join(keepers.hint("shuffle_hash"), "h").where(~stays).select(*found.columns, "keeper.id", "keeper.th").toDF(*found.columns, "kid", "kth"), "to-go")
     drop(found)
     if spare_copies:
         every, gone = gone, cut(_without_copies(gone, rows), "to-go-no-copies")
