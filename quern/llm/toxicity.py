@@ -6,21 +6,25 @@ them; a Levenshtein automaton for each unknown token walks the trie and keeps on
 branches that can still end within the allowed distance. What a distant match is worth
 is learned as well: words near a term that clean texts use are no misspellings.
 
-Each hit is looked at in a window around it: in quotation marks it counts as quoted,
-otherwise as abuse, and more if the window addresses someone. A logistic regression on
+Each hit is looked at in its context: between quotation marks, which are paired over the
+whole text, it counts as quoted, otherwise as abuse, and more if the window of
+``WINDOW_WORDS`` words around it addresses someone. A logistic regression on
 these sums gives the score.
 
 The lexicon and the regression are fitted on at most ``SAMPLE`` labelled texts, chosen by
 a hash of their ids; every text is scored whole.
 
 Cases: null and empty texts have no hits and get the score of a text without any; labels
-that are null are left out and rows of one id that disagree count as toxic; without
+that are null are left out and rows of one id that disagree count as toxic; of texts that share a
+labelled id the least is learned from; without
 labels of both kinds there is no lexicon and every score is the smoothed rate; repeated
-rows are scored alike; an empty table gives an empty result; other columns are ignored.
+rows are scored alike; an empty table gives an empty result; other columns are kept,
+but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -32,13 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .neardup import DENOMINATOR, NUMERATOR
 from .shingles import shingle_set
 
-SAMPLE, MAX_TERMS = 20_000, 400
+SAMPLE = 20_000
 #: How many times as often a term must be in toxic texts.
 MIN_RATIO = 20
 PREFIXES = range(3, 8)
-WINDOW_CHARS, WINDOW_WORDS = 80, 6
+WINDOW_WORDS = 6
 #: Pairs of quotation marks, and words that address someone.
 QUOTES = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))
 ADDRESS = frozenset("you your yours u ur du dich dir ihr euch tu te toi vous usted ustedes ti".split())
@@ -117,14 +122,34 @@ class Lexicon:
         return (best[1], best[0]) if best else None
 
 
-def _quoted(before: str, after: str) -> bool:
-    if before.count('"') % 2 and '"' in after:
-        return True
-    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in QUOTES if a != b)
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans between quotation marks, over the whole text; straight marks pair up, within their line where their number is odd."""
+    out = []
+    for begin, end in QUOTES:
+        start = -1
+        for m in re.finditer(f"[{begin}{end}]", text):
+            if m[0] == begin and start < 0:
+                start = m.end()
+            elif m[0] == end and start >= 0:
+                out.append((start, m.start()))
+                start = -1
+    parts = [text] if text.count('"') % 2 == 0 else text.split("\n")
+    at = 0
+    for part in parts:
+        marks = [at + m.start() for m in re.finditer('"', part)]
+        out += [(a + 1, b) for a, b in zip(marks[::2], marks[1::2], strict=False)]
+        at += len(part) + 1
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 class Model:
-    """The fitted scorer: everything in it is bounded by ``MAX_TERMS``."""
+    """The fitted scorer: its terms and clean words come from the labelled texts, which ``SAMPLE`` bounds."""
 
     def __init__(self, weights: dict[str, float], clean: frozenset[str], beta: list[float]) -> None:
         self.weights, self.clean, self.beta = weights, clean, beta
@@ -148,11 +173,14 @@ class Model:
             return []
         spans = [(m[0], m.start(), m.end()) for m in _WORD.finditer(low)]
         out = []
+        quoted = quotations(low)
         for i, (token, start, end) in enumerate(spans):
             if token in found:
                 near = spans[max(0, i - WINDOW_WORDS) : i + WINDOW_WORDS + 1]
                 addressed = any(t in ADDRESS for t, _, _ in near)
-                out.append((token, *nearest(token), _quoted(low[max(0, start - WINDOW_CHARS) : start], low[end : end + WINDOW_CHARS]), addressed))
+                span = bisect.bisect_right(quoted, (start, len(low)))
+                inside = span > 0 and end <= quoted[span - 1][1]
+                out.append((token, *nearest(token), inside, addressed))
         return out
 
     def features(self, text: str) -> list[float]:
@@ -184,6 +212,18 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(3))], names=["text", "y", "k", "m0", "m1", "m2"])
 
 
+def _not_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose full shingle set is not as similar as a near-duplicate's to that of the text they were dealt to."""
+    for batch in batches:
+        keep = []
+        for own, first in zip(batch.column(0), batch.column(6), strict=True):
+            x, y = shingle_set(own.as_py()), shingle_set(first.as_py())
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(not DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both) > 0)
+        kept = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:6]], names=batch.schema.names[:6])
+
+
 def _terms_of(text: str) -> set[str]:
     words = set(_WORD.findall(text.lower()))
     out = {w for w in words if len(w) >= 3}
@@ -260,10 +300,17 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     per_id = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     chosen = per_id.orderBy(F.xxhash64("k"), "k").limit(sample)
     texts = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    # A family of copies is one witness, not hundreds: of texts that share a minimum of their shingles one is kept.
-    marked = texts.join(F.broadcast(chosen), "k").select("text", "y", "k").mapInArrow(_marks, "text string, y int, k bigint, m0 bigint, m1 bigint, m2 bigint")
+    # Copies are one witness, not hundreds: of texts alike in label that share a minimum of their shingles,
+    # those that the full sets confirm to be near-duplicates of the first are left out.
+    fields = "text string, y int, k bigint, m0 bigint, m1 bigint, m2 bigint"
+    drawn = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
+    marked = drawn.select("text", "y", "k").mapInArrow(_marks, fields)
     for m in ("m0", "m1", "m2"):
-        marked = marked.withColumn("at", F.row_number().over(Window.partitionBy(m).orderBy("k", "text"))).where("at = 1")
+        dealt = Window.partitionBy(m, "y").orderBy("k", "text")
+        placed = marked.withColumns({"first": F.first("text").over(dealt), "place": F.row_number().over(dealt)})
+        heads = placed.where("place = 1").drop("first", "place")
+        marked = heads.unionByName(placed.where("place > 1").drop("place").mapInArrow(_not_copies, fields))
+        marked = cut(marked, f"witnesses-{m}")
     drawn = cut(marked.select("text", "y"), "labelled")
     size = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
@@ -272,8 +319,12 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return Model({}, frozenset(), [prior if toxic + clean else -30.0, 0.0, 0.0, 0.0, 0.0])
     counts = cut(drawn.mapInArrow(_count_terms, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 3"), "terms")
     candidates = counts.count()
-    strength = F.expr(f"pos * ln((pos + 0.5) / {toxic + 1}D / ((neg + 0.5) / {clean + 1}D))")
-    rows = counts.where("pos > 3").withColumn("s", strength).orderBy(F.desc("s"), F.desc("pos"), "term").limit(MAX_TERMS).select("term", "pos", "neg").collect()
+    # Every term that ``_choose`` would take passes here: their number is the labelled texts' matter, not the corpus's.
+    ratio = f"((pos + 0.5) / {toxic + 1}D) / ((neg + 0.5) / {clean + 1}D)"
+    rate = toxic / (toxic + clean)
+    other = f"if(neg > 0, neg / (pos + neg) * ln(neg / (pos + neg) / {1 - rate!r}D), 0D)"
+    bound = f"(pos + neg) * (pos / (pos + neg) * ln(pos / (pos + neg) / {rate!r}D) + {other})"
+    rows = counts.where(f"pos > 3 and {ratio} >= {MIN_RATIO} and {bound} >= {math.log(max(2, candidates)) - 1e-6!r}D").select("term", "pos", "neg").collect()
     weights = _choose([tuple(r) for r in rows], candidates, toxic, clean)
     if not weights:
         return Model({}, frozenset(), [prior, 0.0, 0.0, 0.0, 0.0])
@@ -284,9 +335,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             rows = [(t, y) for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for t in {h[0] for h in rough.hits(x.as_py() or "") if h[2]}]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["token", "y"])
 
-    # Words near a term that clean texts use: at most as many as the sample's toxic texts could be mistaken by.
+    # Words near a term that clean texts use: words of the labelled texts, no more.
     near = drawn.mapInArrow(near_words, "token string, y bigint").groupBy("token").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    clean_words = near.where("neg > 0 and neg * 4 >= pos").orderBy(F.desc("neg"), "token").limit(50 * MAX_TERMS).collect()
+    clean_words = near.where("neg > 0 and neg * 4 >= pos").select("token").collect()
     model = Model(weights, frozenset(r["token"] for r in clean_words), [0.0] * 5)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +354,9 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``score`` and ``predicted``."""
-    own = df.select(*df.columns, F.col(text).alias("_scored"))
+    """``df`` with ``score`` and ``predicted``; columns of those names are replaced."""
+    df, scored = df.drop("score", "predicted"), F.col(text)
+    own = df.select("*", scored.alias("_scored"))
     n = len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -169,6 +169,27 @@ def test_decontamination(spark, odd, empty):
     got = decontam.with_contamination(frame(spark, rows), bench).collect()
     assert {r["doc_id"]: list(r["items"]) for r in got if r["contaminated"]} == want and len(got) == 120
     assert not any(r["contaminated"] for r in decontam.with_contamination(odd, bench).collect())
+    # Brute force: every item beside every place of every text.
+    short = [(100, "alpha beta gamma delta eps zeta eta theta iota kappa"), (101, "one two three four five six"), (102, "seven eight nine ten")]
+    own = {k: t.split() for k, t in short}
+    texts = []
+    for i in range(60):
+        k, bad = short[i % 3][0], rng.sample(range(len(own[short[i % 3][0]])), i // 3 % 4 if i % 3 < 2 else 0)
+        texts.append((i, " ".join([*words(rng, i % 4).split(), *("zzz" if j in bad else w for j, w in enumerate(own[k])), *words(rng, 3).split()])))
+    texts += [(None, texts[0][1]), (-1, texts[0][1]), (None, "clean of all")]
+
+    def brute(t):
+        t, found = t.split(), []
+        for k, item in own.items():
+            tier = next((x for x in decontam.TIERS if len(item) >= x[0]), None)
+            if tier and any(sum(0 <= s + j < len(t) and t[s + j] == w for j, w in enumerate(item)) >= len(item) - tier[1] for s in range(-len(item), len(t))):
+                found.append(k)
+        return found
+
+    clash = spark.createDataFrame([(i, t, "a", "b") for i, t in texts], "doc_id bigint, text string, items string, th string")
+    got = decontam.with_contamination(clash, spark.createDataFrame(short, "item_id bigint, text string"))
+    assert got.columns == ["doc_id", "text", "th", "contaminated", "items", "overlap"]
+    assert sorted((str(r["doc_id"]), r["text"], list(r["items"])) for r in got.collect()) == sorted((str(i), t, brute(t)) for i, t in texts)
     assert decontam.with_contamination(empty, bench).count() == 0 and decontam.with_contamination(odd, bench.limit(0)).count() == odd.count()
 
 
@@ -331,6 +352,22 @@ def test_gru_carries_its_state_and_learns():
     assert g.log_likelihood(steady[:1], 0)[0] > before / 3
 
 
+def test_stages_keep_rows_without_ids_and_clashing_columns(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(37)
+    text, other = words(rng, 60), words(rng, 60)
+    rows = [(-1, text), (None, text), (3, other), (3, other), (None, None), (4, ""), (None, words(rng, 50))]
+    docs = spark.createDataFrame([(i, t, 1, 2.0, "i", "r") for i, t in rows], "doc_id bigint, text string, predicted int, score double, items string, removed string")
+    want = sorted(((-1, text), (3, other), (None, None), (4, ""), rows[6]), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert got == (want if name == "minhash_near_dedup" else sorted(rows, key=str)), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_cover_their_tables(spark, sf, name):
     tables = {"op3_chat": "conversations", "op9_warc": "pages"}

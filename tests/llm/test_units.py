@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import itertools
 import random
 import struct
 import zlib
@@ -11,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quern.llm import bpe, chat, common, linededup, lmscore, media, neardup, shingles, toxicity, warc
+from quern.llm import bpe, chat, common, decontam, linededup, lmscore, media, neardup, shingles, toxicity, warc
 from quern.llm.queries import CONTROL_TEXT, word_bpe_path
 
 
@@ -162,6 +163,19 @@ def test_quotation_counts_less():
     plain, quoted, none = (model.score(t) for t in ("you are an idiot", 'he wrote "idiot" there', "an idiom"))
     assert plain > 0.5 > quoted > none == model.score("")
     assert model.hits("IDIOTS!")[0][:3] == ("idiots", "idiot", 1)
+    long = "word " * 60
+    inside = {text: model.hits(text)[0][3] for text in (f'"{long}idiot {long}"', f'"{long}" you idiot "{long}"', f'5" wide\n"an idiot"', "“an idiot”", "“an” idiot", "no idiot")}
+    assert list(inside.values()) == [True, False, True, True, False, False]
+
+
+def test_masks_reach_every_substitution():
+    longest = 40
+    for least, wrong, masks in decontam.TIERS:
+        above = min((t[0] for t in decontam.TIERS if t[0] > least), default=longest)
+        for n in range(least, min(above, decontam.WINDOW + 1)):
+            for bad in itertools.combinations(range(n), wrong):
+                fits = ((m, at) for m in masks for at in range(n - len(m) + 1))
+                assert any(all(c == "0" or at + i not in bad for i, c in enumerate(m)) for m, at in fits), (n, bad)
 
 
 def test_lines_and_chunks_are_shift_resistant():
