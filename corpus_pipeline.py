@@ -2,6 +2,10 @@
 
 Every stage takes what the one before kept, written as Parquet and read again. Rejected
 documents are gone for good; all stages but the last return the columns of ``documents``.
+
+Cases: null, empty and blank texts are no copies and stay; rows without an id are documents
+of their own, whatever ids others have; rows equal in id and text become one; further
+columns pass through, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,10 +20,17 @@ from quern.llm.common import cut, table
 from quern.llm.queries import word_bpe_path
 
 
+def plainly_named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and the name of each column there."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for toxic go."""
-    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    model = toxicity.fit(docs.select("doc_id", "text"), toxicity.training_labels(table(spark, sf_dir, "labels")))
+    own, names = plainly_named(docs)
+    return toxicity.score(own, model, names["text"]).where("predicted = 0").select(own.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,29 +38,38 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     A text of which nothing is left goes; texts that were blank before stay.
     """
-    done = linededup.dedup_lines(docs, spare_copies=True)
-    done = done.where((F.col("removed_words") == 0) | (F.trim("text") != ""))
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(docs.columns)
+    own, names = plainly_named(docs)
+    text = names["text"]
+    done = linededup.dedup_lines(own, names["doc_id"], text, spare_copies=True)
+    done = done.where((F.col("removed_words") == 0) | (F.trim(text) != ""))
+    if count := names.get("n_chars"):
+        done = done.withColumn(count, F.when(F.col("removed_words") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(count)))
+    return done.select(own.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id."""
-    found = neardup.near_duplicates(docs).where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias("_at"), F.col("text_hash").alias("_th"))
-    gone = cut(found.distinct(), "not-kept")
-    rows = docs.withColumns({"_at": F.coalesce("doc_id", F.lit(-1)), "_th": F.xxhash64("text")})
-    return rows.join(gone, ["_at", "_th"], "left_anti").dropDuplicates(["_at", "_th"]).select(docs.columns)
+    """One document of each group stays: the one with the least doc_id.
+
+    Rows equal in id and text are one document. A row without an id goes if a linked one has an id.
+    """
+    found = neardup.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id", "text_hash")
+    gone = cut(found.distinct().toDF("gone_id", "gone_hash"), "not-kept")
+    own, names = plainly_named(docs)
+    rows = own.withColumn("th", F.xxhash64(names["text"]))
+    same = F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_hash"))
+    return rows.join(gone, same, "left_anti").dropDuplicates([names["doc_id"], "th"]).select(own.columns).toDF(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    return decontam.with_contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
+    own, names = plainly_named(docs)
+    found = decontam.with_contamination(own, table(spark, sf_dir, "benchmark"), names["doc_id"], names["text"])
+    return found.where(~F.col("contaminated")).select(own.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left, with digests of the ids and of the decoded text."""
-    return bpe.encode_digest(docs, "doc_id", "text", word_bpe_path(), with_ids=True)
+    return bpe.encode_digest(docs.select("doc_id", "text"), "doc_id", "text", word_bpe_path(), with_ids=True)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
