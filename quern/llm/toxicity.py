@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .neardup import DENOMINATOR, NUMERATOR
 from .shingles import shingle_set
 
 SAMPLE = 20_000
@@ -212,16 +211,21 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in marks], pa.int64()) for i in range(3))], names=["text", "y", "k", "m0", "m1", "m2"])
 
 
-def _not_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose full shingle set is not as similar as a near-duplicate's to that of the text they were dealt to."""
-    for batch in batches:
-        keep = []
-        for own, first in zip(batch.column(0), batch.column(6), strict=True):
-            x, y = shingle_set(own.as_py()), shingle_set(first.as_py())
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(not DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both) > 0)
-        kept = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([c.filter(kept) for c in batch.columns[:6]], names=batch.schema.names[:6])
+def _families(rows: list) -> dict[int, int]:
+    """A family for each id of ``(id, minima)``: texts that share a minimum, directly or by others, are of one."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k, *minima in rows:
+        for node in (k, *((i, m) for i, m in enumerate(minima) if m)):
+            parent.setdefault(node, node)
+            parent[root(node)] = root(k)
+    numbers: dict = {}
+    return {k: numbers.setdefault(root(k), len(numbers)) for k, *_ in rows}
 
 
 def _terms_of(text: str) -> set[str]:
@@ -233,21 +237,29 @@ def _terms_of(text: str) -> set[str]:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts ordered by family and label: by how many families each term is used, for either label."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+    now, terms = None, set()
 
     def flush() -> pa.RecordBatch:
-        terms = list(counts[0].keys() | counts[1].keys())
-        out = [pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0))]
+        found = list(counts[0].keys() | counts[1].keys())
+        out = [pa.array(found, pa.string()), *(pa.array([counts[y][t] for t in found], pa.int64()) for y in (1, 0))]
         for c in counts:
             c.clear()
         return pa.RecordBatch.from_arrays(out, names=["term", "pos", "neg"])
 
     for batch in batches:
-        for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            counts[y].update(_terms_of(text.as_py() or ""))
-            if len(counts[0]) + len(counts[1]) > _FLUSH:
-                yield flush()
-    yield flush()  # at most _FLUSH terms and one text's are held
+        for text, y, family in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if (family, y) != now:
+                if now:
+                    counts[now[1]].update(terms)
+                now, terms = (family, y), set()
+                if len(counts[0]) + len(counts[1]) > _FLUSH:
+                    yield flush()
+            terms |= _terms_of(text.as_py() or "")
+    if now:
+        counts[now[1]].update(terms)
+    yield flush()  # at most _FLUSH terms and one family's are held
 
 
 def _choose(rows: list, candidates: int, toxic: int, clean: int) -> dict[str, float]:
@@ -271,7 +283,7 @@ def _choose(rows: list, candidates: int, toxic: int, clean: int) -> dict[str, fl
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> list[float]:
     """Ridge-penalized logistic regression by Newton steps; no weight of evidence may be negative."""
     beta = np.zeros(x.shape[1])
     free = np.arange(x.shape[1])
@@ -281,8 +293,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> list[float]:
         for _ in range(40):
             z = np.clip(x[:, free] @ beta[free], -30, 30)
             p = 1 / (1 + np.exp(-z))
-            w = np.maximum(p * (1 - p), 1e-6)
-            grad = x[:, free].T @ (y - p) - penalty[free] * beta[free]
+            w = weight * np.maximum(p * (1 - p), 1e-6)
+            grad = x[:, free].T @ (weight * (y - p)) - penalty[free] * beta[free]
             step = np.linalg.solve((x[:, free] * w[:, None]).T @ x[:, free] + np.diag(penalty[free]), grad)
             beta[free] += np.clip(step, -2, 2)
             if np.abs(step).max() < 1e-7:
@@ -300,24 +312,23 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     per_id = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     chosen = per_id.orderBy(F.xxhash64("k"), "k").limit(sample)
     texts = documents.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    # Copies are one witness, not hundreds: of texts alike in label that share a minimum of their shingles,
-    # those that the full sets confirm to be near-duplicates of the first are left out.
-    fields = "text string, y int, k bigint, m0 bigint, m1 bigint, m2 bigint"
+    # Texts that share a minimum of their shingles are a family. All of them are learned from, but a family
+    # is one witness of a term, and weighs as one text of each label that it has.
     drawn = texts.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
-    marked = drawn.select("text", "y", "k").mapInArrow(_marks, fields)
-    for m in ("m0", "m1", "m2"):
-        dealt = Window.partitionBy(m, "y").orderBy("k", "text")
-        placed = marked.withColumns({"first": F.first("text").over(dealt), "place": F.row_number().over(dealt)})
-        heads = placed.where("place = 1").drop("first", "place")
-        marked = heads.unionByName(placed.where("place > 1").drop("place").mapInArrow(_not_copies, fields))
-        marked = cut(marked, f"witnesses-{m}")
-    drawn = cut(marked.select("text", "y"), "labelled")
-    size = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marked = cut(drawn.select("text", "y", "k").mapInArrow(_marks, "text string, y int, k bigint, m0 bigint, m1 bigint, m2 bigint"), "labelled")
+    # At most ``sample`` rows of four numbers.
+    families = _families([tuple(r) for r in marked.select("k", "m0", "m1", "m2").orderBy("k").collect()])
+    of_id = documents.sparkSession.createDataFrame(list(families.items()), "k bigint, family int")
+    sized = marked.select("text", "y", "k").join(F.broadcast(of_id), "k")
+    sizes = sized.groupBy("family", "y").agg((1 / F.count("*")).alias("w"))
+    drawn = cut(sized.join(F.broadcast(sizes), ["family", "y"]).select("text", "y", "family", "w"), "witnesses")
+    size = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count_distinct("family").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     prior = math.log((toxic + 0.5) / (clean + 0.5))
     if not toxic or not clean:
         return Model({}, frozenset(), [prior if toxic + clean else -30.0, 0.0, 0.0, 0.0, 0.0])
-    counts = cut(drawn.mapInArrow(_count_terms, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 3"), "terms")
+    dealt = drawn.select("text", "y", "family").repartition("family").sortWithinPartitions("family", "y")
+    counts = cut(dealt.mapInArrow(_count_terms, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos + neg > 3"), "terms")
     candidates = counts.count()
     # Every term that ``_choose`` would take passes here: their number is the labelled texts' matter, not the corpus's.
     ratio = f"((pos + 0.5) / {toxic + 1}D) / ((neg + 0.5) / {clean + 1}D)"
@@ -332,24 +343,27 @@ def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def near_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, y) for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True) for t in {h[0] for h in rough.hits(x.as_py() or "") if h[2]}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["token", "y"])
+            texts, *rest = (c.to_pylist() for c in batch.columns)
+            rows = [(t, y, w) for x, y, w in zip(texts, *rest, strict=True) for t in {h[0] for h in rough.hits(x or "") if h[2]}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.float64()))], names=["token", "y", "w"])
 
     # Words near a term that clean texts use: words of the labelled texts, no more.
-    near = drawn.mapInArrow(near_words, "token string, y bigint").groupBy("token").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    near = drawn.select("text", "y", "w").mapInArrow(near_words, "token string, y int, w double").groupBy("token")
+    near = near.agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
     clean_words = near.where("neg > 0 and neg * 4 >= pos").select("token").collect()
     model = Model(weights, frozenset(r["token"] for r in clean_words), [0.0] * 5)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [[round(v, 3) for v in model.features(t.as_py() or "")] for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(1, 5)), batch.column(1)], names=["a", "b", "c", "d", "y"])
-
-    # At most ``sample`` rows of five numbers, equal ones counted together.
-    table = drawn.mapInArrow(described, "a double, b double, c double, d double, y int").groupBy("a", "b", "c", "d", "y").count().orderBy("a", "b", "c", "d", "y").collect()
-    x = np.array([[1.0, r["a"], r["b"], r["c"], r["d"]] for r in table for _ in range(r["count"])])
-    y = np.array([r["y"] for r in table for _ in range(r["count"])], float)
-    model.beta = _logistic(x, y)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in x], pa.float64()) for i in range(1, 5)), *batch.columns[1:]], names=["a", "b", "c", "d", "y", "w"])
+
+    # At most ``sample`` rows of six numbers, equal ones weighed together.
+    keys = ["a", "b", "c", "d", "y"]
+    table = drawn.select("text", "y", "w").mapInArrow(described, "a double, b double, c double, d double, y int, w double").groupBy(*keys).agg(F.round(F.sum("w"), 6).alias("w")).orderBy(*keys).collect()
+    x = np.array([[1.0, r["a"], r["b"], r["c"], r["d"]] for r in table])
+    y, weight = np.array([r["y"] for r in table], float), np.array([r["w"] for r in table])
+    model.beta = _logistic(x, y, weight)
     return model
 
 
