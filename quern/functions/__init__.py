@@ -22,7 +22,7 @@ def gcd(a: Column, b: Column) -> Column:
 
 def lcm(a: Column, b: Column) -> Column:
     g = gcd(a, b)
-    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(F.abs(a.cast("bigint")) / g * F.abs(b.cast("bigint"))).cast("bigint")
+    return F.when(g == 0, F.lit(0).cast("bigint")).otherwise(int_div(F.abs(a.cast("bigint")), g) * F.abs(b.cast("bigint")))
 
 
 def date_bin(seconds: int, at: Column, origin: Column | None = None) -> Column:
@@ -38,8 +38,7 @@ def array_replace(a: Column, old: Column, new: Column) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """Integer division that truncates; null for a zero divisor."""
-    q = F.try_divide(a.cast("decimal(20,0)"), b.cast("decimal(20,0)"))
-    return F.when(q < 0, F.ceil(q)).otherwise(F.floor(q)).cast("bigint")
+    return F.when(b != 0, F.call_function("div", a.cast("bigint"), b.cast("bigint")))
 
 
 def trunc_number(x: Column, places: int = 0) -> Column:

@@ -30,7 +30,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     A range goes to as many bins as it meets, so ``width`` should be near a typical range's length.
     """
     p = points.withColumn("_bin", F.floor(F.col(point) / width).cast("bigint"))
-    first, last = F.floor(F.col(low) / width).cast("bigint"), F.floor((F.col(high) - 1) / width).cast("bigint")
+    first, last = F.floor(F.col(low) / width).cast("bigint"), (F.ceil(F.col(high) / width) - 1).cast("bigint")
     r = ranges.where(F.col(high) > F.col(low)).withColumn("_bin", F.explode(F.sequence(first, last)))
     joined = p.join(r, ["_bin", *on])
     return joined.where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
