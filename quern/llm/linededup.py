@@ -42,29 +42,29 @@ from .shingles import mix, shingle_set
 ROLL, ONE_IN = 2, 2
 MIN_WORDS, COPY_SHARE = 35, 0.6
 
-_END = re.compile(r"(?<=[.!?])[ \t]+|\n+")
+#: Line ends. Each branch begins with a literal, so that the search skips from one such character to the next.
+_END = re.compile(r"\n\n*|\.[ \t]+|![ \t]+|\?[ \t]+")
 _ROLLING = np.array([xxhash.xxh3_64_intdigest(f"line {i}") | 1 for i in range(ROLL)], np.uint64)
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
 def lines_of(text: str) -> tuple[list[str], list[int]]:
     """The trimmed lines that are not blank, and where each ends in the text; blank ones belong to the line before."""
-    lines, ends, at = [], [], 0
-    for m in _END.finditer(text):
-        end = m.end()
-        own = text[at:end].strip()
-        if own:
-            lines.append(own)
-            ends.append(end)
-        elif ends:
-            ends[-1] = end
-        at = end
-    if own := text[at:].strip():
-        lines.append(own)
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] != len(text):
         ends.append(len(text))
-    elif ends:
-        ends[-1] = len(text)
-    return lines, ends
+    lines = [text[a:b].strip() for a, b in zip([0, *ends], ends, strict=False)]
+    if "" not in lines:
+        return lines, ends
+    own: list[str] = []
+    stops: list[int] = []
+    for line, end in zip(lines, ends, strict=True):
+        if line:
+            own.append(line)
+            stops.append(end)
+        elif stops:
+            stops[-1] = end
+    return own, stops
 
 
 def chunks_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
