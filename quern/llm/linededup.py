@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,33 +118,41 @@ _OCCURRENCE = "h bigint, id bigint, th bigint, line int, start int, stop int, wo
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated lines, without the runs of them that do not reach ``MIN_WORDS``."""
+    """Repeated lines, without the runs of them that do not reach ``MIN_WORDS``; all texts of a batch at once."""
     names = [x.split()[0] for x in _OCCURRENCE.split(", ")]
     for batch in batches:
-        rows: list[np.ndarray] = [np.empty((6, 0), np.int64)]
-        sizes = []
-        for raw, raw_ends, raw_words, own in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
-            line = np.sort(np.array(own, np.int64))
-            ends = np.concatenate([[0], np.frombuffer(raw_ends, np.int32)]).astype(np.int64)
-            words = np.frombuffer(raw_words, np.int32).astype(np.int64)
-            run = np.cumsum(np.diff(line, prepend=line[0]) > 1)
-            line = line[(np.bincount(run, words[line]) >= MIN_WORDS)[run]]
-            sizes.append(len(line))
-            rows.append(np.stack([np.frombuffer(raw, np.int64)[line], line, ends[line], ends[line + 1], words[line], np.full_like(line, words.sum())]))
-        h, *rest = np.concatenate(rows, axis=1)
-        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-        yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in rest)], names=names)
+        raw, raw_ends, raw_words = (c.to_pylist() for c in batch.columns[2:5])
+        h = np.frombuffer(b"".join(raw), np.int64)
+        ends, words = (np.frombuffer(b"".join(x), np.int32) for x in (raw_ends, raw_words))
+        counts = np.array([len(x) // 8 for x in raw], np.int64)
+        base = np.cumsum(counts) - counts
+        text = pc.list_parent_indices(batch.column(5)).to_numpy()
+        line = batch.column(5).flatten().to_numpy()
+        order = np.lexsort((line, text))
+        text, line = text[order], line[order]
+        run = np.cumsum((np.diff(text, prepend=-1) != 0) | (np.diff(line, prepend=-2) != 1)) - 1
+        at = base[text] + line
+        good = (np.bincount(run, words[at]) >= MIN_WORDS)[run]
+        text, line, at = text[good], line[good], at[good]
+        sums = np.append(0, np.cumsum(words, dtype=np.int64))
+        total = (sums[base + counts] - sums[base])[text]
+        start = np.where(line > 0, ends[at - 1], 0)
+        own = pa.array(text)
+        rest = [line, start, ends[at], words[at], total]
+        yield pa.RecordBatch.from_arrays([pa.array(h[at]), batch.column(0).take(own), batch.column(1).take(own), *(pa.array(x.astype(np.int32)) for x in rest)], names=names)
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, h, start, stop) lists to a row for each spot, with its line as it was hashed."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
-            h, body = [], []
-            for text, hs, starts, stops in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                h += hs
-                body += [text[a:b].strip() for a, b in zip(starts, stops, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(body, pa.string())], names=["h", "body"])
+            part = batch.slice(at, 500)
+            starts, stops = (part.column(i).flatten().to_pylist() for i in (2, 3))
+            ends = np.cumsum(pc.list_value_length(part.column(1)).to_numpy()).tolist()
+            body: list[str] = []
+            for text, lo, hi in zip(part.column(0).to_pylist(), [0, *ends], ends, strict=False):
+                body += [text[a:b].strip() for a, b in zip(starts[lo:hi], stops[lo:hi], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(1).flatten(), pa.array(body, pa.string())], names=["h", "body"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +225,8 @@ def _decided(gone: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             id_, th = batch.column(0), batch.column(1).to_numpy()
-            same = (th == th[-1]) & np.array([x == id_[-1].as_py() for x in id_.to_pylist()])
+            own, null = id_.fill_null(0).to_numpy(), id_.is_null().to_numpy(zero_copy_only=False)
+            same = (th == th[-1]) & (own == own[-1]) & (null == null[-1])
             last = len(th) - int(np.argmin(same[::-1])) if not same.all() else 0
             if last:
                 held.append(batch.slice(0, last))

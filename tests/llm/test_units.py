@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import bpe, chat, common, decontam, linededup, lmscore, media, neardup, shingles, toxicity, warc
@@ -194,3 +195,24 @@ def test_lines_and_chunks_are_shift_resistant():
 
 def test_digest_is_that_of_hashlib():
     assert warc.digest_of(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").hexdigest().startswith("da39a3ee")
+
+
+def test_runs_of_repeated_lines_against_a_plain_version():
+    rng = random.Random(2)
+    for _ in range(100):
+        rows, want = [], []
+        for i in range(rng.randrange(1, 6)):
+            n = rng.randrange(1, 30)
+            h, e, w = [rng.randrange(50) for _ in range(n)], np.cumsum([rng.randrange(1, 9) for _ in range(n)]).tolist(), [rng.randrange(1, 20) for _ in range(n)]
+            own, runs = rng.sample(range(n), rng.randrange(1, n + 1)), []
+            rows.append((rng.choice([None, i]), i, np.array(h, np.int64).tobytes(), np.array(e, np.int32).tobytes(), np.array(w, np.int32).tobytes(), own))
+            for line in sorted(own):
+                if runs and runs[-1][-1] == line - 1:
+                    runs[-1].append(line)
+                else:
+                    runs.append([line])
+            for r in (r for r in runs if sum(w[x] for x in r) >= linededup.MIN_WORDS):
+                want += [(h[x], rows[-1][0], i, x, e[x - 1] if x else 0, e[x], w[x], sum(w)) for x in r]
+        types = [pa.int64(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int32())]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list("abcdef"))
+        assert [tuple(r.values()) for out in linededup._occurrences(iter([batch])) for r in out.to_pylist()] == want
