@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,7 +11,7 @@ from .errors import SpecError
 from .plans.filters import describe, lower
 from .plans.policy import Decision
 from .plans.predicate import MYSQL, POSTGRES
-from .plans.splits import Split, keyset_of
+from .plans.splits import Split, check_key, keyset, keyset_of
 from .sources.spec import JobSpec
 from .sources.tables import JdbcTable, ScanPlan, SourceTable
 
@@ -105,13 +105,21 @@ class Connector:
         p = self.spec.parallel_scan
         if p.strategy != "keyset":
             return [Split(0)]  # page ranges need the source's own snapshot: one split
-        plan = self.plan()
-        base = self.table.read(replace(plan, columns=(p.partition_column,), pushed=None, source_limit=None)) if isinstance(self.table, JdbcTable) else self.table.df
-        return keyset_of(base, p.partition_column, p.partitions)
+        return self._keyset(p.partitions)
+
+    def _keyset(self, n: int) -> list[Split]:
+        key = self.spec.parallel_scan.partition_column
+        if not isinstance(self.table, JdbcTable):
+            return keyset_of(self.table.df, key, n)
+        check_key(self.table.schema, key)
+        return keyset(*self.table.bounds(key), n, key)
 
     def df(self) -> DataFrame:
-        """All splits at once."""
-        return self.plan().df()
+        """All splits at once; of a database, no more of them than its connections, each a partition of its own."""
+        p = self.spec.parallel_scan
+        if p.strategy != "keyset" or not isinstance(self.table, JdbcTable):
+            return self.plan().df()
+        return self.plan().df(self._keyset(min(p.partitions, self.table.pool_max)))
 
     def split_df(self, split: Split) -> DataFrame:
         return self.plan().of(split).df()

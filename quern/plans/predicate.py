@@ -22,6 +22,7 @@ class Dialect:
     text_type: str
     binary_collation: str | None
     backslash_strings: bool = False
+    fetch_first: bool = False
 
     def ident(self, name: str) -> str:
         return self.quote + name.replace(self.quote, self.quote * 2) + self.quote
@@ -35,6 +36,9 @@ class Dialect:
         body = body.replace("\\", "\\\\")
         return f"'{body}'" if self.backslash_strings else f"E'{body}'"
 
+    def limit(self, n: int) -> str:
+        return f" FETCH FIRST {max(1, n)} ROWS ONLY" if self.fetch_first else f" LIMIT {n}"
+
     def collate(self, expr: str) -> str:
         if self.binary_collation is None:
             return expr
@@ -45,7 +49,7 @@ class Dialect:
 POSTGRES = Dialect("postgres", '"', "text", "C")
 MYSQL = Dialect("mysql", "`", "CHAR", "utf8mb4_bin", backslash_strings=True)
 SPARK = Dialect("spark", "`", "string", None, backslash_strings=True)
-DERBY = Dialect("derby", '"', "VARCHAR(32672)", None)
+DERBY = Dialect("derby", '"', "VARCHAR(32672)", None, fetch_first=True)
 
 
 class Node:

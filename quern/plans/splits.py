@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import SplitPlanMismatch
 from .predicate import POSTGRES, Dialect
@@ -74,11 +75,15 @@ def keyset(low: int | None, high: int | None, n: int, key: str) -> list[Split]:
     return [Split(0, low, splits[0].hi, key), *splits[1:]] if len(splits) > 1 else [Split(0)]
 
 
-def keyset_of(df: DataFrame, key: str, n: int) -> list[Split]:
-    """One read of the least and the greatest key."""
-    kind = df.schema[key].dataType.simpleString()
+def check_key(schema: T.StructType, key: str) -> None:
+    kind = schema[key].dataType.simpleString()
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise ValueError(f"keyset key {key!r} must be an integer column, not {kind}")
+
+
+def keyset_of(df: DataFrame, key: str, n: int) -> list[Split]:
+    """One read of the least and the greatest key."""
+    check_key(df.schema, key)
     c = F.col("`" + key.replace("`", "``") + "`").cast("bigint")
     row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
     return keyset(row["lo"], row["hi"], n, key)

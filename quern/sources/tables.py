@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from dataclasses import dataclass, field, replace
 from threading import Lock
 
@@ -14,10 +15,37 @@ from ..plans.cost import CostInputs
 from ..plans.policy import Decision, Pushdown, decide
 from ..plans.predicate import POSTGRES, SPARK, Dialect, Node, all_of
 from ..plans.splits import Split
-from ..plans.stats import IndexInfo, TableStats, collect
+from ..plans.stats import ColumnStats, IndexInfo, TableStats, axis, collect, ordinal
 from ..plans.translate import Fidelity, kinds_of
 
 
+#: Statistics of a table in more files than these come from a part of them; memos are kept for so many tables.
+MEASURED_FILES, MEMOS = 64, 1024
+
+#: Bytes of a value, as statistics from a database take them; 16 of any other type.
+WIDTHS = {T.BooleanType: 1.0, T.ShortType: 2.0, T.IntegerType: 4.0, T.DateType: 4.0, T.FloatType: 4.0, T.LongType: 8.0, T.DoubleType: 8.0, T.TimestampType: 8.0, T.TimestampNTZType: 8.0}
+
+
+class Memo:
+    """Statistics measured, and when; the oldest tables are forgotten first."""
+
+    _known: OrderedDict[tuple, Memo] = OrderedDict()
+    _guard = Lock()
+
+    def __init__(self) -> None:
+        self.held: tuple[float, TableStats] | None = None
+        self.lock = Lock()
+
+    @classmethod
+    def of(cls, key: tuple) -> Memo:
+        with cls._guard:
+            memo = cls._known.setdefault(key, cls())
+            cls._known.move_to_end(key)
+            while len(cls._known) > MEMOS:
+                cls._known.popitem(last=False)
+            return memo
+
+
 @dataclass
 class SourceTable:
     """Parquet: what is pushed is advice, as Spark's reader pushes what it can on its own."""
@@ -30,8 +58,8 @@ class SourceTable:
     dialect: Dialect = SPARK
     fixed_stats: TableStats | None = None
     server_utf8: bool = True
-    _held: tuple[float, TableStats] | None = field(default=None, repr=False)
-    _lock: Lock = field(default_factory=Lock, repr=False)
+    path: str | None = None
+    _memo: Memo | None = field(default=None, repr=False)
 
     @property
     def schema(self) -> T.StructType:
@@ -40,7 +68,8 @@ class SourceTable:
     @classmethod
     def parquet(cls, spark: SparkSession, folder: str, table: str, **options) -> SourceTable:
         try:
-            return cls(spark, table, spark.read.parquet(f"{folder}/{table.split('.')[-1]}.parquet"), **options)
+            path = f"{folder}/{table.split('.')[-1]}.parquet"
+            return cls(spark, table, spark.read.parquet(path), path=path, **options)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise TableNotFound(table) from e
@@ -51,27 +80,42 @@ class SourceTable:
         if self.fixed_stats is not None:
             return self.fixed_stats
         wanted = self.schema.names if columns is None else [c for c in columns if c in self.schema.names]
-        with self._lock:  # one refresh at a time
-            fresh = self._held and time.monotonic() - self._held[0] < self.rules.statistics_ttl_secs
-            held = self._held[1] if self._held else TableStats()
+        memo = self.memo()
+        with memo.lock:  # one refresh at a time
+            fresh = memo.held and time.monotonic() - memo.held[0] < self.rules.statistics_ttl_secs
+            held = memo.held[1] if memo.held else TableStats()
             missing = [c for c in wanted if not fresh or c not in held.columns]
             if not missing and fresh:
                 return held
             try:
-                found = collect(self.full(), missing)
+                found = self.measure(missing)
             except Exception:
-                if self._held is None:
+                if memo.held is None:
                     raise
                 return held
             known = {**(held.columns if fresh else {}), **found.columns}
             width = sum(s.avg_width for s in known.values()) * len(self.schema.names) / max(1, len(known))
             made = TableStats(found.row_count, int(found.row_count * width), known)
-            self._held = (self._held[0] if fresh else time.monotonic(), made)
+            memo.held = (memo.held[0] if fresh else time.monotonic(), made)
             return made
 
-    def full(self) -> DataFrame:
-        """The whole table, as statistics see it."""
-        return self.df
+    def memo(self) -> Memo:
+        """Tables opened from the same files share what was measured of them."""
+        if self._memo is None:
+            self._memo = Memo.of((self.path, *sorted(self.df.inputFiles()))) if self.path else Memo()
+        return self._memo
+
+    def measure(self, columns: list[str]) -> TableStats:
+        """Of a table in many files, its rows are counted from their footers and the rest is measured on files spread evenly over it."""
+        files = sorted(self.df.inputFiles()) if self.path else []
+        if len(files) <= MEASURED_FILES:
+            return collect(self.df, columns)
+        some = files[:: -(-len(files) // MEASURED_FILES)]
+        found = collect(self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*some), columns)
+        rows = self.df.count()
+        # Many distinct values in the part mean as many more in the whole; few mean that all of them were met.
+        scaled = {n: replace(c, n_distinct=c.n_distinct * rows / found.row_count) if c.n_distinct * 10 > found.row_count > 0 else c for n, c in found.columns.items()}
+        return TableStats(rows, found.size_bytes, scaled)
 
     def decide(self, filters: list[Node]) -> list[Decision]:
         needs = self.rules.policy in ("cost_based", "strict", "hinted") and filters
@@ -119,8 +163,8 @@ class ScanPlan:
     def of(self, split: Split) -> ScanPlan:
         return replace(self, split=split)
 
-    def df(self) -> DataFrame:
-        df = self.table.read(self)
+    def df(self, splits: list[Split] | None = None) -> DataFrame:
+        df = self.table.read(self) if splits is None else self.table.read_splits(self, splits)
         if self.residual is not None:
             df = df.where(self.residual.column())
         df = df.select(*("`" + c.replace("`", "``") + "`" for c in self.columns))
@@ -149,7 +193,9 @@ class JdbcTable(SourceTable):
         names = plan.needed()
         body = ", ".join(map(self.dialect.ident, names)) if names else "1 AS one"
         where = f" WHERE {plan.pushed.render(self.dialect)}" if plan.pushed is not None else ""
-        return f"SELECT {body} FROM {self.table}{where}"
+        # The range of a split is met outside of this statement: a limit would count before it.
+        limit = self.dialect.limit(plan.source_limit) if plan.source_limit is not None and plan.split.predicate(self.dialect) is None else ""
+        return f"SELECT {body} FROM {self.table}{where}{limit}"
 
     def reader_options(self) -> dict[str, str]:
         own = {"fetchsize": str(self.fetch_rows), "pushDownPredicate": "false", "pushDownAggregate": "false", "pushDownLimit": "false", "pushDownOffset": "false", "pushDownTableSample": "false"}
@@ -175,5 +221,27 @@ class JdbcTable(SourceTable):
             return self.spark.read.jdbc(predicates=[s.predicate(self.dialect) or "1 = 1" for s in splits], **common)
         return self.spark.read.jdbc(**common)
 
-    def full(self) -> DataFrame:
-        return self.spark.read.jdbc(self.url, self.table, properties=self.reader_options())
+    def ask(self, statement: str) -> tuple:
+        """The one row of a statement that the source works out."""
+        return tuple(self.spark.read.jdbc(self.url, f"({statement}) q", properties=self.reader_options()).first())
+
+    def bounds(self, key: str) -> tuple[int | None, int | None]:
+        """The least and the greatest key."""
+        c = self.dialect.ident(key)
+        low, high = self.ask(f"SELECT min({c}) AS lo, max({c}) AS hi FROM {self.table}")
+        return (None, None) if low is None else (int(low), int(high))
+
+    def measure(self, columns: list[str]) -> TableStats:
+        """Aggregates at the source, of which one row a column travels; between the ends of a column values count as even."""
+        simple = [f for f in self.schema if f.name in columns and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
+        rows, found = self.ask(f"SELECT count(*) AS n FROM {self.table}")[0], {}
+        for f in simple:
+            c, placed = self.dialect.ident(f.name), axis(f.name, f.dataType) is not None
+            # As text, types without an order of their own can be told apart too.
+            one = f"CAST({c} AS {self.dialect.text_type})" if isinstance(f.dataType, T.StringType) else c
+            ends = f", min({c}) AS lo, max({c}) AS hi" if placed else ""
+            known, distinct, *span = self.ask(f"SELECT count({c}) AS n, count(DISTINCT {one}) AS d{ends} FROM {self.table}")
+            places = [ordinal(v) for v in span]
+            histogram = tuple(places) if placed and None not in places and places[0] != places[1] else ()
+            found[f.name] = ColumnStats(float(distinct), 1 - known / rows if rows else 0.0, WIDTHS.get(type(f.dataType), 16.0), histogram)
+        return TableStats(rows, int(rows * sum(c.avg_width for c in found.values())), found)

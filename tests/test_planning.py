@@ -266,3 +266,39 @@ def test_jdbc_pushes_what_was_decided(spark, sf, tmp_path):
     assert plan.df().count() == 20
     splits = keyset(0, 24, 3, "n_nationkey")
     assert table.read_splits(table.plan(), splits).count() == 25
+    # The source finds bounds and statistics: one row of each travels. It also counts limits.
+    assert table.bounds("n_nationkey") == (0, 24)
+    stats = table.stats(["n_nationkey", "n_name"])
+    assert stats.row_count == 25 and stats.columns["n_nationkey"].histogram == (0.0, 24.0) and stats.columns["n_name"].n_distinct == 25
+    limited = table.plan([Cmp(Col("n_nationkey"), ">=", Lit(5))], ["n_name"], limit=3)
+    assert table.query(limited).endswith(" FETCH FIRST 3 ROWS ONLY") and limited.df().count() == 3
+    costly = replace(table, rules=Pushdown("cost_based")).plan([Cmp(Col("n_nationkey"), ">=", Lit(22))])
+    assert costly.pushed is not None and costly.df().count() == 3
+
+
+def test_jdbc_reads_by_splits(spark, sf, tmp_path):
+    from quern.engine import Connector
+    from quern.plans.predicate import DERBY
+    from quern.sources.spec import JobSpec
+    from quern.sources.tables import JdbcTable
+
+    url, options = f"jdbc:derby:{tmp_path}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.read.parquet(f"{sf}/nation.parquet").write.jdbc(url, '"nation"', "overwrite", options)
+    raw = {"job_id": "j", "table": "nation", "source": {"path": sf}, "columns": ["n_name"], "parallel_scan": {"strategy": "keyset", "partitions": 6, "partition_column": "n_nationkey"}}
+    connector = Connector(spark, JobSpec.parse(raw), JdbcTable.open(spark, url, '"nation"', options, DERBY, pool_max=3))
+    assert len(connector.splits()) == 5  # ranges of five keys
+    df = connector.df()
+    assert df.rdd.getNumPartitions() == 3 and df.columns == ["n_name"]
+    assert sorted(df.collect()) == sorted(spark.read.parquet(f"{sf}/nation.parquet").select("n_name").collect())
+
+
+def test_statistics_are_shared_and_measured_on_a_part(spark, tmp_path, monkeypatch):
+    from quern.sources import tables
+
+    spark.range(10_000).selectExpr("id", "id % 4 AS few").repartition(12).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(tables, "MEASURED_FILES", 4)
+    one = tables.SourceTable.parquet(spark, str(tmp_path), "t")
+    stats = one.stats(["id", "few"])
+    assert stats.row_count == 10_000 and stats.columns["few"].n_distinct == 4 and abs(stats.columns["id"].n_distinct - 10_000) < 500
+    monkeypatch.setattr(tables, "collect", None)  # nothing is measured again
+    assert tables.SourceTable.parquet(spark, str(tmp_path), "t").stats(["id"]) == stats
