@@ -6,9 +6,15 @@ so that the same reader takes files on any store and archives written by ``write
 Archives are cut at ``ARCHIVE_BYTES`` and never depend on one another.
 
 Cases: null payloads and urls are empty; equal payloads, the empty one included, share one
-response, the row with the largest id, and the others revisit it; rows that repeat that
-largest id are responses too; null ids sort below all others; an empty table gives no
-archive; a frame that is cut, a wrong length or digest raises ``WarcError``.
+response, the row with the largest id, and the others revisit it; of rows that repeat that
+largest id one is the response, by its place in the table, which must not change between
+two reads; null ids sort below all others; an empty table gives no archive; a frame that
+is cut, a wrong length or digest raises ``WarcError``.
+
+The reader takes foreign archives too. Only HTTP responses and revisits have a head before
+the payload, with or without a length, and bodies in chunks are put together; of any other
+record (``warcinfo``, ``request``, ``metadata``, ``resource``, ...) the block is the payload.
+A record without a digest gets that of its payload; a revisit without a length has none.
 """
 
 from __future__ import annotations
@@ -50,20 +56,20 @@ def _head(value: object) -> str:
     return re.sub(r"[\x00-\x1f%]", lambda m: f"%{ord(m[0]):02X}", str(value))
 
 
-def build_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A response with its payload, or a revisit with the HTTP head alone."""
+def build_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, again: int | None = None) -> bytes:
+    """A response with its payload, or a revisit with the HTTP head alone; ``again`` tells rows of one id apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page)),
+        ("WARC-Record-ID", record_id(page if again is None else f"{page}/{again}")),
         ("WARC-Date", DATE),
         ("WARC-Target-URI", url or ""),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", len(block)),
     ]
-    head += [("X-Page-Id", page)] * (page is not None)
+    head += [("X-Page-Id", page)] * (page is not None) + [("X-Escaped", "percent")] * (_head(url or "") != (url or ""))
     if revisit:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to))] + [("X-Refers-To-Page", refers_to)] * (refers_to is not None)
     lines = "".join(f"{k}: {_head(v)}\r\n" for k, v in head).encode()
@@ -77,11 +83,16 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     if not gap or lines[0] not in (VERSION, b"WARC/1.0"):
         raise WarcError("no WARC version line")
     headers: dict[str, str] = {}
+    name = ""
     for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and name:  # a folded line goes on with the header before
+            headers[name] += " " + line.strip().decode(errors="replace")
+            continue
+        raw_name, colon, value = line.partition(b":")
         if not colon:
             raise WarcError(f"no header: {line[:80]!r}")
-        headers[name.decode().lower()] = value.strip().decode()
+        name = raw_name.decode(errors="replace").strip().lower()
+        headers[name] = value.strip().decode(errors="replace")
     if missing := [x for x in REQUIRED if x not in headers]:
         raise WarcError(f"missing {', '.join(missing)}")
     if not headers["content-length"].isdigit() or int(headers["content-length"]) != len(rest) - 4 or rest[-4:] != b"\r\n\r\n":
@@ -93,6 +104,46 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def unchunked(body: bytes) -> bytes:
+    """An HTTP body sent in chunks, put together."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"([0-9A-Fa-f]+)[ \t]*(;.*)?", body[at:end], re.S) if end >= 0 else None
+        if size is None:
+            raise WarcError("no length of a chunk")
+        n, at = int(size[1], 16), end + 2
+        if n == 0:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            raise WarcError("a chunk is cut")
+        out.append(body[at : at + n])
+        at += n + 2
+
+
+def payload_of(headers: dict[str, str], block: bytes) -> tuple[int | None, str]:
+    """Length and bare digest of a record's payload, checked where the record holds it."""
+    kind = headers["warc-type"]
+    said = headers.get("warc-payload-digest", "")
+    bare = said.partition(":")[2] if said.lower().startswith("sha1:") else ""
+    if kind not in ("response", "revisit") or not headers.get("content-type", "").lower().startswith("application/http"):
+        return (None, bare) if kind == "revisit" else (len(block), digest_of(block))
+    http, gap, body = block.partition(b"\r\n\r\n")
+    if not gap:
+        raise WarcError("no HTTP head in the block")
+    length = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+    if kind == "revisit":
+        return int(length[1]) if length else None, bare
+    if re.search(rb"(?im)^transfer-encoding:[^\r\n]*\bchunked\b", http):
+        body = unchunked(body)
+    elif length and int(length[1]) != len(body):
+        raise WarcError("the payload does not match its length")
+    own = digest_of(body)
+    if bare and bare.upper() != own:
+        raise WarcError("the payload does not match its digest")
+    return len(body), own
+
+
 def pack(records: list[bytes]) -> bytes:
     """One archive: the dictionary's skippable frame, then a frame a record."""
     samples = [r[:SAMPLE_BYTES] for r in records]
@@ -137,8 +188,10 @@ def write_pages(pages: DataFrame, page: str = "page_id", url: str = "url", paylo
     """``(path, content)``: every page's record, in archives on the shared folder."""
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(url).alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body"))
-    # max() leaves nulls out, so the null id is the response only where a payload has no other.
-    owners = cut(rows.groupBy("sha1").agg(F.max("page").alias("owner")), "warc-owners")
+    rows = rows.withColumn("uid", F.monotonically_increasing_id())
+    # The greatest id of every payload, how many rows have it, and the first of them; nulls are the least.
+    top = rows.groupBy("sha1", "page").agg(F.count("*").alias("n"), F.min("uid").alias("first")).groupBy("sha1").agg(F.max(F.struct("page", "n", "first")).alias("top"))
+    owners = cut(top.select("sha1", F.col("top.page").alias("owner"), F.when(F.col("top.n") > 1, F.col("top.first")).alias("first")), "warc-owners")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -149,9 +202,10 @@ def write_pages(pages: DataFrame, page: str = "page_id", url: str = "url", paylo
             return pa.RecordBatch.from_arrays([path, pa.array([pack(held)], pa.binary())], names=["path", "content"])
 
         for batch in batches:
-            for page_id, at, data, sha1, owner in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for page_id, at, data, sha1, owner, first, uid in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                held.append(build_record(page_id, at, data, digest, owner, page_id != owner))
+                again = uid if page_id == owner and first not in (None, uid) else None
+                held.append(build_record(page_id, at, data, digest, owner, page_id != owner or again is not None, again))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield close()
@@ -159,7 +213,7 @@ def write_pages(pages: DataFrame, page: str = "page_id", url: str = "url", paylo
         if held:
             yield close()
 
-    linked = rows.join(owners, "sha1", "left").select("page", "url", "body", "sha1", "owner")
+    linked = rows.join(owners, "sha1", "left").select("page", "url", "body", "sha1", "owner", "first", "uid")
     return cut(linked.mapInArrow(run, "path string, content binary"), "warc-archives")
 
 
@@ -176,16 +230,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
             for archive in batch.column(0):
                 rows = []
                 for headers, block in map(parse_record, unpack(archive.as_py())):
-                    http, gap, body = block.partition(b"\r\n\r\n")
-                    length = re.search(rb"(?im)^content-length: (\d+)\r?$", http)
-                    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if not gap or not length:
-                        raise WarcError("no HTTP head in the block")
-                    if headers["warc-type"] == "response" and (int(length[1]) != len(body) or digest_of(body) != digest):
-                        raise WarcError("the payload does not match its length or digest")
+                    size, digest = payload_of(headers, block)
                     ids = [int(headers[k]) if k in headers else None for k in ("x-page-id", "x-refers-to-page")]
-                    target = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), headers.get("warc-target-uri", ""))
-                    rows.append((ids[0], int(length[1]), digest, headers["warc-type"], ids[1], target))
+                    target = headers.get("warc-target-uri", "").removeprefix("<").removesuffix(">")
+                    if "x-escaped" in headers:
+                        target = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), target)
+                    rows.append((ids[0], size, digest, headers["warc-type"], ids[1], target))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     return archives.select("content").mapInArrow(run, RECORDS)

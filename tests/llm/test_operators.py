@@ -98,10 +98,36 @@ def test_warc(spark):
     rows = [(1, "u", "same"), (2, None, "same"), (5, "u", "same"), (5, "u", "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (None, "u", "alone")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = sorted(((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archives(warc.write_pages(df)).collect()), key=str)
-    assert got == sorted([(1, "revisit", 5, 4), (2, "revisit", 5, 4), (5, "response", None, 4), (5, "response", None, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (0, "revisit", 5, 4), (0, "response", None, 5)], key=str)
+    assert got == sorted([(1, "revisit", 5, 4), (2, "revisit", 5, 4), (5, "response", None, 4), (5, "revisit", 5, 4), (3, "revisit", 4, 0), (4, "response", None, 0), (0, "revisit", 5, 4), (0, "response", None, 5)], key=str)
     assert warc.read_archives(warc.write_pages(df.limit(0))).count() == 0
 
 
+def test_foreign_archives_from_files(spark, tmp_path):
+    def record(kind, block, *more, content="application/http;msgtype=response"):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x:{kind}>", "WARC-Date: 2020-01-01T00:00:00Z", f"Content-Type: {content}", *more, f"Content-Length: {len(block)}"]
+        return b"WARC/1.0\r\n" + "\r\n".join(head).encode("latin-1") + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    records = [
+        record("warcinfo", b"software: x\r\n", content="application/warc-fields"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", content="application/http;msgtype=request"),
+        record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n4\r\nsome\r\n3;x=1\r\n it\r\n0\r\n\r\n", "WARC-Target-URI: <http://a/%20b>", f"WARC-Payload-Digest: sha1:{warc.digest_of(b'some it')}"),
+        record("response", b"HTTP/1.0 200 OK\r\n\r\nno length", "X-Note: one\r\n\ttwo \xe9"),
+        record("metadata", b"", content="text/plain"),
+        record("revisit", b"", "WARC-Payload-Digest: sha1:ABC", content="message/http"),
+    ]
+    for i in range(2):
+        (tmp_path / f"{i}.warc.zst").write_bytes(warc.pack(records))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = sorted((r["record_type"], r["payload_bytes"], r["payload_digest"], r["url"]) for r in warc.read_archives(files.where("path like '%/0.warc.zst'")).collect() if r["record_type"] != "revisit")
+    want = [("warcinfo", b"software: x\r\n", ""), ("request", b"GET / HTTP/1.1\r\n\r\n", ""), ("response", b"some it", "http://a/%20b"), ("response", b"no length", ""), ("metadata", b"", "")]
+    assert got == sorted((k, len(b), warc.digest_of(b), u) for k, b, u in want)
+    both = warc.read_archives(files)
+    assert both.count() == 2 * len(records) and [(r["payload_bytes"], r["payload_digest"]) for r in both.where("record_type = 'revisit'").collect()] == [(None, "ABC")] * 2
+    for bad in (b"zz\r\n", b"4\r\nso", b""):
+        with pytest.raises(warc.WarcError):
+            warc.unchunked(bad)
+
+
 def components_by_force(rows):
     sets = {}
     for i, t in rows:
